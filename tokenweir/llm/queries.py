@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing
+from tokenweir.llm import chat, licenses, mixing, quality, toxicity
 from tokenweir.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, labels))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,18 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mix": op1_mix, "op6_licenses": op6_licenses, "op8_chat": op8_chat}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, quality.train(docs, labels))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
+    "op8_chat": op8_chat,
+    "op9_quality": op9_quality,
+}
 
 _OP1 = r"""
 WITH s AS (SELECT doc_id, source,
