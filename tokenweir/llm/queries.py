@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing, quality, toxicity
+from tokenweir.llm import chat, licenses, mixing, quality, toxicity, warc
 from tokenweir.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, toxicity.train(docs, labels))
@@ -47,6 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op8_chat": op8_chat,
@@ -130,4 +135,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
-ORACLES = {"op1_mix": _OP1, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
+_OP3 = r"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  translate(lpad(to_base(CAST(('0x' || substr(d, 1, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 6, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 11, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 16, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 21, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 26, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 31, 5)) AS BIGINT), 32), 4, '0') || lpad(to_base(CAST(('0x' || substr(d, 36, 5)) AS BIGINT), 32), 4, '0'),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op1_mix": _OP1, "op3_warc": _OP3, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
