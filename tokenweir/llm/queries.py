@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing, quality, toxicity, warc
+from tokenweir.llm import chat, licenses, mixing, quality, simhash, toxicity, warc
 from tokenweir.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, labels))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_warc": op3_warc,
@@ -56,6 +61,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_simhash": op10_simhash,
 }
 
 _OP1 = r"""
