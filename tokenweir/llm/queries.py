@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing, quality, simhash, toxicity, warc
+from tokenweir.llm import chat, licenses, mixing, quality, simhash, suffixdedup, toxicity, warc
 from tokenweir.llm.common import table
 
 
@@ -28,6 +28,13 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("__row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +66,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
