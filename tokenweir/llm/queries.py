@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing, quality, simhash, suffixdedup, toxicity, warc
+from tokenweir.llm import chat, licenses, mixing, neardup, quality, simhash, suffixdedup, toxicity, warc
 from tokenweir.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_neardup": op2_neardup,
     "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
@@ -160,4 +165,15 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-ORACLES = {"op1_mix": _OP1, "op3_warc": _OP3, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
+_OP2 = r"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS r FROM e),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x, n y WHERE x.vec_id <> y.vec_id AND x.r > 0 AND y.r > 0
+        AND list_inner_product(x.v, y.v) / (x.r * y.r) >= 0.95),
+w AS (SELECT vec_id, vec_id AS c FROM e UNION SELECT l.b AS vec_id, w.c FROM w JOIN l ON l.a = w.vec_id WHERE w.c < l.b),
+m AS (SELECT vec_id, min(c) AS component_id FROM w GROUP BY vec_id)
+SELECT q.vec_id, (SELECT count(*) FROM l WHERE l.a = q.vec_id) AS n_links, m.component_id, q.vec_id = m.component_id AS kept
+FROM embeddings q JOIN m ON m.vec_id = q.vec_id
+"""
+
+ORACLES = {"op1_mix": _OP1, "op2_neardup": _OP2, "op3_warc": _OP3, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
