@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenweir.llm import chat, licenses, mixing, neardup, quality, simhash, suffixdedup, toxicity, warc
+from tokenweir.llm import chat, licenses, mixing, neardup, pieces, quality, simhash, suffixdedup, toxicity, warc
 from tokenweir.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, toxicity.train(docs, labels))
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_neardup": op2_neardup,
     "op3_warc": op3_warc,
+    "op4_pieces": op4_pieces,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_suffix_dedup": op7_suffix_dedup,

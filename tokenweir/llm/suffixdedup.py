@@ -386,8 +386,11 @@ def cut(text: bytes, lo: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
     return b"".join(kept), len(starts)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`__row` (all columns of docs) with n_bytes, n_removed, n_spans and kept (binary)."""
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """`__row` (all columns of docs) with n_bytes, n_removed, n_spans and kept.
+
+    kept is binary; with as_text a string without the bytes of characters cut in two.
+    """
     spark = docs.sparkSession
     keyed = with_row_key(docs, "doc_id", "__key")
     keyed = keyed.select("__key", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
@@ -406,7 +409,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = texts.join(per_doc, F.col("__key") == F.col("__k"), "left").select("__row", "__text", "r")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
+        none, kind = np.zeros(0, np.int64), pa.string() if as_text else pa.binary()
         for batch in batches:
             data, at = flat(batch.column(1))
             raw, lists = data.tobytes(), batch.column(2)
@@ -417,16 +420,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for i in range(len(at) - 1):
                 mine = slice(off[i], off[i + 1]) if valid[i] else slice(0, 0)
                 rest, k = cut(raw[at[i] : at[i + 1]], lo[mine] if valid[i] else none, n[mine] if valid[i] else none)
-                kept.append(rest)
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 gone.append(int(at[i + 1] - at[i]) - len(rest))
                 spans.append(k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
                 names=["__row", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     row = keyed.schema["__row"].dataType.simpleString()
-    return whole.mapInArrow(work, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.mapInArrow(work, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def digest(data: bytes) -> str:
