@@ -36,12 +36,14 @@ from tokenweir.llm.arrowtext import flat, slices
 from tokenweir.llm.common import materialize, with_row_key
 
 #: Runs per part of the first shuffle, windows' bytes per part of the second.
-PART_RUNS = 400_000
-PART_BYTES = 8 << 20
+PART_RUNS = 200_000
+PART_BYTES = 2 << 20
 #: Documents looked at for anchors that very many share, and how many make it so.
 HEAVY_DOCS = 20_000
 HEAVY_COUNT = 60
-FLUSH_RUNS = 1 << 20
+FLUSH_RUNS = 1 << 19
+#: Bytes of text whose windows are hashed at once: some twenty 8-byte numbers a byte.
+HASH_BYTES = 1 << 19
 
 _RUN = np.dtype([("h", "<u8"), ("g", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("n", "<u1"), ("off", "<u1")])
 _WIN = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("lo", "<u4")])
@@ -145,7 +147,7 @@ def run_blocks(keyed: DataFrame, parts: int, heavy: np.ndarray) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, data, at in slices(batch.column(1)):
+            for i, j, data, at in slices(batch.column(1), HASH_BYTES):
                 held.append(slice_runs(data, at, keys[i:j], shared.value))
                 size += sum(map(len, held[-1]))
                 if size >= FLUSH_RUNS:
@@ -166,7 +168,7 @@ def heavy_anchors(keyed: DataFrame, n_docs: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in slices(batch.column(0)):
+            for _, _, data, at in slices(batch.column(0), HASH_BYTES):
                 doc, _, _, _, h = anchors.runs(data, at)
                 order = np.lexsort((doc, h))
                 once = order[_firsts([h, doc], order)]
