@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenweir.plans import ledger_queries, text_queries
+from tokenweir.plans import engine_queries, ledger_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (ledger_queries, text_queries):
+for _module in (ledger_queries, text_queries, engine_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

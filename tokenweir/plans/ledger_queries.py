@@ -78,7 +78,7 @@ QUERIES = {
     "money_by_day": _t(lambda t: L.money_by_day(t, 14)),
     "money_by_model": _t(lambda t: L.money_by_model(t, 3)),
     "padded_daily_saved": _t(lambda t: _rounded(L.padded_daily_saved(t, 45), "saved_usd")),
-    "money_coverage": _t(lambda t, c: _rounded(L.money_coverage(t.filter("id % 3 = 0"), c), "coverage"), "turns", "compressions"),
+    "money_coverage": _t(lambda t, c: _rounded(L.money_coverage(t, c), "coverage"), "turns", "compressions"),
     "session_bill": _t(L.session_bill),
     "unpriced_models": _t(L.unpriced_models),
     "dashboard": _t(lambda t: _rounded(L.dashboard(t), "saved_pct")),
@@ -149,7 +149,7 @@ SELECT group_label, label, round(f, 6) AS fresh_usd, round(c, 6) AS cache_usd, r
 g AS (SELECT CAST(last - CAST(i AS INTEGER) AS DATE) AS d FROM b, range(0, 45) r(i)),
 s AS (SELECT CAST(substr(ts, 1, 10) AS DATE) AS d, sum(saved_micros) / 1e6 AS u FROM sv GROUP BY 1)
 SELECT strftime(g.d, '%Y-%m-%d') AS day, round(coalesce(u, 0.0), 6) AS saved_usd FROM g LEFT JOIN s ON g.d = s.d""",
-    "money_coverage": cte("turns", "compressions") + """, t AS (SELECT count(*) AS turns FROM turns WHERE id % 3 = 0), c AS (SELECT count(*) AS events FROM compressions)
+    "money_coverage": cte("turns", "compressions") + """, t AS (SELECT count(*) AS turns FROM turns), c AS (SELECT count(*) AS events FROM compressions)
 SELECT turns, events, round(least(turns * 1.0 / events, 1.0), 6) AS coverage, events > 0 AND turns = 0 AS traffic_without_money, turns > 0 AND turns < events AS partial FROM t, c""",
     "session_bill": _TURNS + "SELECT session_id, CAST(sum(bill_micros) AS BIGINT) AS bill_micros FROM turns GROUP BY session_id",
     "unpriced_models": _TURNS + f"SELECT DISTINCT model FROM turns WHERE {_UNPRICED}",

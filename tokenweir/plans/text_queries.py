@@ -62,7 +62,7 @@ def _keep_flag(spark, d):
 
 def _chain_reuse(spark, d):
     chain = S.prefix_hash_chain(_conv(spark, d))
-    return S.known_prefix(chain, chain.filter("request_id % 2 = 0 and seg_ix <= 2"))
+    return S.known_prefix(chain, chain.filter("seg_ix <= 2"))
 
 
 QUERIES = {
@@ -221,7 +221,7 @@ k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weigh
 b AS (SELECT seg, i, round(seen * 1.0 / total - i * 1.0 / (n - 1), 12) AS bow FROM i WHERE n >= 3 AND total > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY bow DESC, i) AS nr FROM b) SELECT seg, CASE WHEN bow > 0.05 THEN i END AS knee FROM r WHERE nr = 1""",
     "prefix_hash": _CHAIN + "SELECT * FROM ch",
-    "known_prefix": _CHAIN + """, st AS (SELECT DISTINCT prefix FROM ch WHERE request_id % 2 = 0 AND seg_ix <= 2),
+    "known_prefix": _CHAIN + """, st AS (SELECT DISTINCT prefix FROM ch WHERE seg_ix <= 2),
 h AS (SELECT request_id, seg_ix, ch.prefix IN (SELECT prefix FROM st) AS hit FROM ch)
 SELECT request_id, CAST(coalesce(min(seg_ix) FILTER (WHERE NOT hit), max(seg_ix) + 1) - min(seg_ix) AS BIGINT) AS reused FROM h GROUP BY request_id""",
     "rare_rows": """WITH o AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS g, o_orderkey AS pos, o_orderpriority || '/' || o_orderstatus AS v FROM orders),
