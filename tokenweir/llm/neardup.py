@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tokenweir.llm.common import materialize
 from tokenweir.llm.components import components
+from tokenweir.llm.simhash import named_components
 
 THRESHOLD = 0.95
 BLOCK = 4096
@@ -121,7 +122,7 @@ def tile_blocks(classes: DataFrame, blocks: int, dims_col: str = "embedding") ->
                 names=["tile", "side", "n", "body"],
             )
 
-    return classes.select("rep", "mult", "block", dims_col).mapInArrow(work, "tile string, side int, n int, body binary")
+    return classes.select("fp", "mult", "block", dims_col).mapInArrow(work, "tile string, side int, n int, body binary")
 
 
 def tile_links(tiles: DataFrame, n_tiles: int, threshold: float) -> DataFrame:
@@ -175,25 +176,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = vectors.select(F.col("vec_id"), F.when(live, e.cast("array<double>")).alias("embedding"))
     classes = materialize(
         rows.filter("embedding is not null and vec_id is not null")
-        .groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("mult")),
+        .groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("mult"))
+        .withColumn("fp", F.monotonically_increasing_id()),
         "classes",
     )
     n = classes.count()
     blocks = max(1, -(-n // block))
-    dealt = classes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    dealt = classes.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int"))
     n_tiles = blocks * (blocks + 1) // 2
     deal = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_tiles, 20_000))
     found = materialize(tile_links(tile_blocks(dealt, blocks), deal, threshold), "links")
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    root = components(found.filter("b is not null").select("a", "b"))
+    named = named_components(classes, components(found.filter("b is not null").select("a", "b")))
     info = (
-        classes.join(counts, F.col("rep") == F.col("a"), "left")
-        .join(root, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("embedding").alias("__e"),
-            (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+        classes.join(counts, F.col("fp") == F.col("a"), "left")
+        .join(named, F.col("fp") == F.col("__fp"))
+        .select(F.col("embedding").alias("__e"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), "component_id")
     )
     out = rows.join(info, rows["embedding"] == info["__e"], "left")
     return out.select(

@@ -12,8 +12,8 @@ a spanning forest, so a dense group costs no more than its members.
 
 Equal fingerprints are collapsed first (a partial aggregate), so thousands of copies are
 one fingerprint. Defined cases: null or wordless text has fingerprint zero and links like
-any other; null doc_ids and repeated rows get rows of their own and take part under the
-smallest doc_id of their fingerprint; other columns are ignored.
+any other; null doc_ids and repeated rows get rows of their own, and a component is named
+by its smallest doc_id that is not null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,17 +180,19 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     n = distinct.count()
     parts = max(8, -(-n // PART_FINGERPRINTS))
     found = links(balls(distinct.repartition("fp"), parts), parts)
-    named = (
-        found.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-        .filter("ra is not null and rb is not null")
-        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    )
-    roots = components(named)
-    label = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id")
+    return prints.join(named_components(distinct, components(found)), prints["fp"] == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
+
+
+def named_components(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(__fp, component_id): for every node (fp, rep) the smallest rep of its component.
+
+    Components are found over the nodes themselves, since one doc_id may stand for several.
+    """
+    rooted = materialize(
+        nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "rooted"
     )
-    return prints.join(label, prints["fp"] == label["__fp"], "left").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy(F.col("root").alias("__root")).agg(F.min("rep").alias("component_id"))
+    return rooted.join(least, F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "component_id")
 
 
 def hex_fingerprint(fp):
