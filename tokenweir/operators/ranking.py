@@ -11,18 +11,21 @@ K1, B, DELTA = 1.2, 0.75, 1.0
 
 def terms(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, term, tf, dl: term counts per chunk, from one exchange on the chunk and term."""
-    ws = X.words(F.col("text"))
-    return chunks.select(*keys, F.size(ws).alias("dl"), F.explode(ws).alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    ws = chunks.select(*keys, X.words(F.col("text")).alias("ws"))
+    return ws.select(*keys, F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, group: str, chunk: str, query: DataFrame, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
     """BM25+ score of every chunk against its group's query terms (query: group, term).
 
-    Only query terms are joined with postings, so the wide part is the term explosion;
+    A group's query travels to its chunks as an array, so that only hits are exploded;
     statistics per group are small aggregates.
     """
-    stats = chunks.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size(X.words(F.col("text")))).alias("avgdl"))
-    hits = terms(chunks, [group, chunk]).join(query.select(group, "term").distinct(), [group, "term"])
+    asked = query.groupBy(group).agg(F.collect_set("term").alias("q"))
+    ws = chunks.select(group, chunk, X.words(F.col("text")).alias("ws")).join(asked, group, "left")
+    hit = ws.select(group, chunk, F.size("ws").alias("dl"), F.filter("ws", lambda w: F.array_contains("q", w)).alias("hit"))
+    stats = hit.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = hit.select(group, chunk, "dl", F.explode("hit").alias("term")).groupBy(group, chunk, "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy(group, "term").agg(F.count("*").alias("df"))
     s = hits.join(df, [group, "term"]).join(stats, group)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
