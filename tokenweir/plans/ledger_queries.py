@@ -154,7 +154,7 @@ SELECT turns, events, round(least(turns * 1.0 / events, 1.0), 6) AS coverage, ev
     "session_bill": _TURNS + "SELECT session_id, CAST(sum(bill_micros) AS BIGINT) AS bill_micros FROM turns GROUP BY session_id",
     "unpriced_models": _TURNS + f"SELECT DISTINCT model FROM turns WHERE {_UNPRICED}",
     "dashboard": _TURNS + f""", a AS (SELECT agent, {_SUMS} FROM turns GROUP BY agent),
-c AS (SELECT CASE agent WHEN 'claude-code' THEN 'Claude Code' WHEN 'codex' THEN 'Codex' WHEN 'my_agent-one' THEN 'My Agent One' ELSE 'Unknown' END AS card, turns, input_before, input_after, bill_micros FROM a
+c AS (SELECT CASE agent WHEN 'desk-agent' THEN 'Desk Agent' WHEN 'codex' THEN 'Codex' WHEN 'my_agent-one' THEN 'My Agent One' ELSE 'Unknown' END AS card, turns, input_before, input_after, bill_micros FROM a
   UNION ALL SELECT 'total', CAST(sum(turns) AS BIGINT), CAST(sum(input_before) AS BIGINT), CAST(sum(input_after) AS BIGINT), CAST(sum(bill_micros) AS BIGINT) FROM a)
 SELECT *, round(CASE WHEN input_before > 0 THEN CAST(greatest(input_before - input_after, 0) AS DOUBLE) / input_before * 100.0 ELSE 0.0 END, 6) AS saved_pct FROM c""",
     "reprice": _TURNS + f""", f AS (SELECT *, ({_UNPRICED}) AND coalesce(model = 'free', FALSE) AS fix FROM turns)

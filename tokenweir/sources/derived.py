@@ -18,7 +18,7 @@ SELECT id, ts, session_id, CAST(NULL AS STRING) AS cc_session_id, agent, project
 FROM (
   SELECT event_id AS id, substr(CAST(ts AS STRING), 1, 19) AS ts,
     concat('s', CAST(user_id AS STRING), '-', substr(CAST(ts AS STRING), 1, 10)) AS session_id,
-    CASE user_id % 4 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex' WHEN 2 THEN 'my_agent-one' ELSE 'unknown' END AS agent,
+    CASE user_id % 4 WHEN 0 THEN 'desk-agent' WHEN 1 THEN 'codex' WHEN 2 THEN 'my_agent-one' ELSE 'unknown' END AS agent,
     CASE WHEN user_id % 5 <> 0 THEN concat('/work/p', CAST(user_id % 7 AS STRING)) END AS project,
     CASE WHEN event_type = 'signup' THEN concat('name ', CAST(event_id % 9 AS STRING)) END AS session_name,
     CASE WHEN event_id % 3 = 1 THEN 'openai' ELSE 'anthropic' END AS provider,
