@@ -25,8 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tokenweir.llm.arrowtext import flat
-from tokenweir.llm.common import materialize
+from tokenweir.llm.arrowtext import slices
+from tokenweir.llm.common import materialize, small_batches
 from tokenweir.llm.components import components
 
 SHINGLE = 3
@@ -66,12 +66,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = flat(batch.column(1))
-            raw, ends = data.tobytes(), at.tolist()
-            out = np.fromiter((fingerprint(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])), dtype=np.uint64, count=len(ends) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            for i, j, data, at in slices(batch.column(1)):
+                raw, ends = data.tobytes(), at.tolist()
+                out = np.fromiter((fingerprint(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])), dtype=np.uint64, count=j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenweir.llm import anchors
 from tokenweir.llm.anchors import WINDOW
 from tokenweir.llm.arrowtext import flat, slices
-from tokenweir.llm.common import materialize, with_row_key
+from tokenweir.llm.common import materialize, small_batches, with_row_key
 
 #: Runs per part of the first shuffle, windows' bytes per part of the second.
 PART_RUNS = 200_000
@@ -394,6 +394,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     kept is binary; with as_text a string without the bytes of characters cut in two.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = with_row_key(docs, "doc_id", "__key")
     keyed = keyed.select("__key", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
     size = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("b")).first()

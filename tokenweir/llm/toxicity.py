@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenweir.llm.arrowtext import gram_valid, slices
+from tokenweir.llm.common import small_batches
 from tokenweir.llm.quality import labelled_sample, read_sample
 
 GRAMS = (3, 4, 5, 6, 7, 8)
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
             names=["k", "c", "b"],
         )
 
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", sample_rows, lambda i: ~held_out(i))
     got = sample.repartition(1).mapInArrow(work, "k binary, c binary, b double").collect()
     if not got:
@@ -172,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
