@@ -71,7 +71,7 @@ def with_row_key(df: DataFrame, id_col: str, out: str = "__key", rank_by: str =
     kind = dict(df.dtypes)[id_col]
     if kind in ("tinyint", "smallint", "int", "bigint") and (seen["most"] or 0) <= 1 and not seen["nulls"]:
         return df.withColumn(out, F.col(id_col).cast("long"))
-    ranked = df.repartitionByRange(F.col(id_col).asc_nulls_first(), F.xxhash64(rank_by)).sortWithinPartitions(
+    ranked = df.repartitionByRange(F.col(id_col).asc_nulls_first(), F.col(rank_by).asc_nulls_first()).sortWithinPartitions(
         F.col(id_col).asc_nulls_first(), F.col(rank_by).asc_nulls_first()
     )
     return materialize(ranked.withColumn(out, F.monotonically_increasing_id()), "keyed")
