@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tokenweir.llm.arrowtext import gram_valid, is_space, segment_sum, slices, word_starts
+from tokenweir.llm.arrowtext import SLICE_BYTES, gram_valid, is_space, segment_sum, slices, word_starts
+from tokenweir.llm.common import small_batches
 
 BITS = 16
 SCALE = 50.0
 GRAMS = (2, 3, 4)
-SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 1 << 25
+SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 1 << 24
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_AT = 0.5
@@ -161,19 +162,17 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 150, l2: float = 1e
     families = 2 + len(GRAMS)
     idx, val, rows = [], [], []
     col = pa.array(texts, type=pa.binary())
-    for i, j, data, at in slices(col):
+    for i, j, data, at in slices(col, SLICE_BYTES // 4):
         ids, hashes, word_at = words_of(data, at)
         for f, (bucket, off) in enumerate(feature_families(data, at, ids, hashes, word_at)):
             n = np.diff(off)
             key = (np.repeat(np.arange(j - i), n) << BITS) | bucket
             u, c = np.unique(key, return_counts=True)
             r = u >> BITS
-            rows.append(r + i)
-            idx.append((u & ((1 << BITS) - 1)) + (f << BITS))
-            val.append(SCALE * c / n[r])
-    rows, idx, val = np.concatenate(rows), np.concatenate(idx), np.concatenate(val).astype(np.float32)
-    order = np.argsort(rows, kind="stable")
-    rows, idx, val = rows[order], idx[order], val[order]
+            rows.append((r + i).astype(np.int32))
+            idx.append(((u & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32))
+            val.append((SCALE * c / n[r]).astype(np.float32))
+    rows, idx, val = np.concatenate(rows), np.concatenate(idx), np.concatenate(val)
     cut = max(2, len(texts) * 4 // 5)
     if len(set(labels[:cut].tolist())) < 2 or len(set(labels[cut:].tolist())) < 2:
         cut = len(texts)
@@ -258,6 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
                 names=["w", "bias", "a", "b"],
             )
 
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", sample_rows)
     got = sample.repartition(1).mapInArrow(work, "w binary, bias double, a double, b double").collect()
     if not got:
@@ -274,13 +274,14 @@ def score_quality(docs: DataFrame, model: QualityModel | None, columns: list[str
     names = [f.strip().split()[0] for f in RESULT.split(",")]
     columns = [c for c in (columns or ["doc_id"]) if c not in names]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             kept = [batch.column(k) for k in range(len(columns))]
-            for i, j, data, at in slices(batch.column(len(columns))):
+            for i, j, data, at in slices(batch.column(len(columns)), SLICE_BYTES // 2):
                 ids, hashes, word_at = words_of(data, at)
                 c = base_counts(data, at, ids, word_at)
                 bad = failed(c)
