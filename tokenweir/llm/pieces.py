@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenweir.llm.arrowtext import SLICE_BYTES, slices
+from tokenweir.llm.common import small_batches
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -107,6 +108,13 @@ class PieceModel:
         self.live: set[str] | dict[str, int] = self.ids
         if self.bpe:
             self.live = {p for p in self.ids if self.merge(p) == [p]}
+        self.id_pairs: dict[int, bool] = {}
+        self.ends: dict = {}
+        for p in self.live:
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = self.ids[p]
 
     def merge(self, word: str) -> list[str]:
         """The word's pieces by merging neighbours, best score first, leftmost of equals."""
@@ -136,14 +144,17 @@ class PieceModel:
         before = ""
         start: list[int] = [0]  # where the last piece of each prefix begins
         score: list[float] = [0.0]
+        last: list[int] = [-1]
+        if len(self.id_pairs) > CACHE_PAIRS:
+            self.id_pairs.clear()
         for word in words:
             n = min(len(word), len(before))
             keep = 0
             while keep < n and word[keep] == before[keep]:
                 keep += 1
-            del start[keep + 1 :], score[keep + 1 :]
+            del start[keep + 1 :], score[keep + 1 :], last[keep + 1 :]
             if self.bpe:
-                self._extend_merged(word, start)
+                self._extend_merged(word, start, last)
             else:
                 self._extend_scored(word, start, score)
             before, pieces, at = word, [], len(word)
@@ -162,16 +173,38 @@ class PieceModel:
             out[word] = tuple(ids)
         return out
 
-    def _extend_merged(self, word: str, start: list[int]) -> None:
-        live, longest = self.live, self.longest
+    def _extend_merged(self, word: str, start: list[int], last: list[int]) -> None:
+        """States of the prefixes beyond those held: where the last piece begins, and its id (-1: unknown).
+
+        Candidates come from a trie of reversed pieces, walked back from the prefix's end.
+        """
+        root, pairs, n = self.ends, self.id_pairs, len(self.pieces)
         for i in range(len(start), len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = word[j:i]
-                if (t in live or i - j == 1) and (j == 0 or self.compatible(word[start[j] : j], t)):
+            node, j = root, i
+            while j:
+                j -= 1
+                node = node.get(word[j])
+                if node is None:
+                    start.append(i - 1)
+                    last.append(-1)
+                    break
+                t = node.get("")
+                if t is not None:
+                    if j:
+                        p = last[j]
+                        ok = pairs.get(p * n + t) if p >= 0 else None
+                        if ok is None:
+                            ok = self.compatible(word[start[j] : j], word[j:i])
+                            if p >= 0:
+                                pairs[p * n + t] = ok
+                        if not ok:
+                            continue
                     start.append(j)
+                    last.append(t)
                     break
             else:
-                raise AssertionError(f"no last piece for {word[:i]!r}")
+                start.append(i - 1)
+                last.append(-1)
 
     def _extend_scored(self, word: str, start: list[int], score: list[float]) -> None:
         for i in range(len(start), len(word) + 1):
@@ -215,6 +248,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, columns:
     round_trip says whether decoding the ids gives the text again (marks count as spaces).
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     with open(model_path, "rb") as f:  # the driver reads the file, executors get its bytes
         shared = spark.sparkContext.broadcast(f.read())
     names = ["n_pieces", "piece_ids", "round_trip"]
