@@ -4,9 +4,10 @@ import json
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tokenweir.config import Config, ablations, from_table, preset
-from tokenweir.functions import codetext, folding, jsontext as J, lex, phrases, selecting
+from tokenweir.functions import codetext, folding, jsontext as J, lex, phrases, selecting, text as X
 from tokenweir.plans import compress as C
 from tokenweir.sources import requests as R
 
@@ -49,6 +50,22 @@ def test_kinds_and_shapes():
     assert "lockfile" in folding.shape_generated('"lockfileVersion": 3\n' + "x" * 900)
 
 
+PNPM = "lockfileVersion: '9.0'\n" + "".join(f"\n  /pkg-{i}@2.{i}.1:\n    resolution: {{name: pkg-{i}}}\n    dev: true\n" for i in range(40))
+LOCKS = ["# yarn lockfile v1", '  "lockfileVersion": 3,', '{"name": "a", "lockfileVersion": 3}', "# This file is automatically @generated by Cargo.", "# @generated by Poetry"]
+
+
+def test_lock_header_behind_other_output(spark):
+    """A header counts at any line start of the text, not in its first 400 characters only."""
+    other = "".join(f"step {'abcdefgh'[i % 8]} of the install is done\n" for i in range(20))
+    plain = "".join(f"plain words of line {i} stand here\n" for i in range(40))
+    yes = [other + PNPM, PNPM, *(other + h + "\n" + plain for h in LOCKS)]
+    no = [other + plain, other + "see lockfileVersion: in the yarn lockfile, generated by cargo\n" + plain, other + '# says "generated by hand"\n' + plain]
+    assert all(len(other) > 400 and "lockfile" in (folding.shape(t) or "") for t in yes)
+    assert [folding.shape_generated(t) for t in no] == [None] * len(no)
+    df = spark.createDataFrame(list(enumerate(yes + no)), "i int, x string").select("i", X.generated_kind(F.col("x")).alias("k"))
+    assert [r.k for r in df.orderBy("i").collect()] == ["lockfile"] * len(yes) + [None] * len(no)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(0, 9), max_size=4), st.integers(1, 5), st.floats(0, 1)), min_size=1, max_size=10), st.integers(1, 15))
 def test_lazy_selection_equals_plain_greedy(items, budget):

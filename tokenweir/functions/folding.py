@@ -10,7 +10,7 @@ from tokenweir.functions import text as X
 from tokenweir.functions.lex import estimate, lines, simhash, words
 from tokenweir.functions.selecting import optimal_keep
 
-_STRONG, _WARN, _LEVEL, _GREP, _VAR = (re.compile(p) for p in (X.STRONG, X.WARN, X.LEVEL, X.GREP_LINE, X.VARIABLE))
+_STRONG, _WARN, _LEVEL, _GREP, _LOCK, _VAR = (re.compile(p) for p in (X.STRONG, X.WARN, X.LEVEL, X.GREP_LINE, X.LOCK_HEADER, X.VARIABLE))
 _TAG = re.compile(r"^\s*<(/?)([A-Za-z][\w.-]*)(?:\s[^<>]*)?(?<!/)>\s*$")
 HEAD = TAIL = 3
 MAX_LINES, MIN_LINES = 40, 20
@@ -337,7 +337,7 @@ def shape_generated(text: str) -> str | None:
         return None
     ls = [x for x in lines(text) if x.strip()]
     records = sum(bool(re.match(r'\s*(?:"?(?:resolved|integrity|checksum|version)"?\s*[:= ]|\[\[package\]\])', x)) for x in ls)
-    if re.search(r'(?i)yarn lockfile|"lockfileVersion"|lockfileVersion:|generated by (?:cargo|poetry)', text[:400]) or (len(ls) >= 12 and records * 100 >= 15 * len(ls)):
+    if _LOCK.search(text) or (len(ls) >= 12 and records * 100 >= 15 * len(ls)):
         what = "lockfile"
     elif any(len(x) >= 2000 and sum(map(str.isspace, x)) * 100 < 8 * len(x) and sum(c in "{}();,=" for c in x) * 100 >= 4 * len(x) for x in ls):
         what = "minified code"

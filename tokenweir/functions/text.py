@@ -9,6 +9,11 @@ STRONG = r"(?i)\b(error|fatal|fail(?:ed|ure)?|panic(?:ked)?|exception|traceback|
 WARN = r"(?i)\b(warn(?:ing)?|deprecat)"
 LEVEL = r"(?i)\b(error|warn|info|debug|trace|fatal|fail|panic|exception)\b"
 GREP_LINE = r"^(?:[A-Za-z]:)?[^:\n]*[A-Za-z./\\][^:\n]*:\d+:"
+# Lines that only lock files have, wherever they stand in a text.
+LOCK_HEADER = (
+    r"(?im)^[ \t]*(?:# This file is automatically @?generated|#[^\n]*\bgenerated by (?:cargo|poetry)|# yarn lockfile"
+    r'|lockfileVersion:|(?:\{[^\n]*)?"lockfileVersion"[ \t]*:)'
+)
 # The variable parts of a line, most specific first.
 VARIABLE = (
     r'"[^"]*"'
@@ -101,7 +106,7 @@ def generated_kind(text: Column) -> Column:
     """lockfile, minified, base64 or null; texts below 800 characters are none."""
     ls = nonblank(lines(text))
     n = F.size(ls)
-    header = F.rlike(F.substring(text, 1, 400), F.lit(r"(?i)yarn lockfile|\"lockfileVersion\"|generated by (?:cargo|poetry)|lockfileVersion:"))
+    header = F.rlike(text, F.lit(LOCK_HEADER))
     records = count_like(ls, r"^\s*(?:\"?(?:resolved|integrity|checksum|version)\"?\s*[:= ]|\[\[package\]\])")
     long = F.filter(ls, lambda x: F.length(x) >= 2000)
     packed = F.exists(
