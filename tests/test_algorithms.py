@@ -66,6 +66,28 @@ def test_lock_header_behind_other_output(spark):
     assert [r.k for r in df.orderBy("i").collect()] == ["lockfile"] * len(yes) + [None] * len(no)
 
 
+def test_global_fold_merges_any_number_of_buckets():
+    """Lines of one template fold as well when they and others fall into over 512 buckets."""
+    job = [f"job worker {i} done" for i in (7, 12, 345, 6789, 10234)]
+    other = [f"{a}x y{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out, folded = folding.fold_global("\n".join(job[:2] + other + job[2:]))
+    assert folded and out == "\n".join(["job worker {} done [×5: (7) (12) (345) (6789) (10234)]", *other])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2), st.sets(st.sampled_from("abcdefghijklmnop"), min_size=1)), max_size=40), st.sampled_from([0.5, 0.6, 0.75, 0.9, 1.0]))
+def test_bucket_merge_equals_all_pairs(given_, share):
+    keyed = {(n, i): [i] for i, (n, _) in enumerate(given_)}
+    want = []
+    for i, (n, mask) in enumerate(given_):
+        m = next((m for m in want if m[0] == n and len(m[1] & mask) >= share * len(m[1] | mask)), None)
+        if m:
+            m[2].append(i)
+        else:
+            want.append((n, mask, [i]))
+    assert folding._merged(keyed, [m for _, m in given_], share) == [m[2] for m in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(0, 9), max_size=4), st.integers(1, 5), st.floats(0, 1)), min_size=1, max_size=10), st.integers(1, 15))
 def test_lazy_selection_equals_plain_greedy(items, budget):

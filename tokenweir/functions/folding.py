@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -141,12 +142,35 @@ def fold_runs(text: str, least: int = 3) -> tuple[str, bool]:
     return ("\n".join(out), True) if folded else (text, False)
 
 
-def fold_global(text: str, share: float = 0.9, vote: int = 10, least: int = 3, buckets: int = 512) -> tuple[str, bool]:
+def _merged(keyed: dict[tuple, list[int]], masks: list[set[str]], share: float) -> list[list[int]]:
+    """The buckets' members, each bucket joined to the first kept mask of its word count that agrees to `share`.
+
+    Two sets of that Jaccard share a word among the rarest |x| - ceil(share |x|) + 1 of each
+    (prefix filter), so only kept masks under such a word are compared.
+    """
+    seen = Counter((n, w) for (n, _), mask in zip(keyed, masks) for w in mask)
+    kept: list[tuple[set[str], list[int]]] = []
+    under: dict[tuple, list[int]] = defaultdict(list)
+    for ((n, _), members), mask in zip(keyed.items(), masks):
+        rarest = sorted(mask, key=lambda w: (seen[n, w], w))
+        prefix = [(n, w) for w in rarest[: len(mask) - math.ceil(share * len(mask)) + 1]]
+        near = sorted({k for w in prefix for k in under[w]})
+        at = next((k for k in near if len(kept[k][0] & mask) >= share * len(kept[k][0] | mask)), None)
+        if at is None:
+            for w in prefix:
+                under[w].append(len(kept))
+            kept.append((mask, list(members)))
+        else:
+            kept[at][1].extend(members)
+    return [sorted(members) for _, members in kept]
+
+
+def fold_global(text: str, share: float = 0.9, vote: int = 10, least: int = 3) -> tuple[str, bool]:
     """Lines of one shape wherever they stand, folded at their first place.
 
     Lines fall into buckets by number of words and five anchor characters; buckets with
-    one word count whose constant words agree to `share` (Jaccard) are merged; the
-    members' first `vote` lines decide which words are constant.
+    one word count whose constant words agree to `share` (Jaccard) are merged, however many
+    there are; the members' first `vote` lines decide which words are constant.
     """
     ls = lines(text)
     keyed: dict[tuple, list[int]] = defaultdict(list)
@@ -154,20 +178,7 @@ def fold_global(text: str, share: float = 0.9, vote: int = 10, least: int = 3, b
         if line.strip():
             n = len(line) - 1
             keyed[len(line.split()), tuple(line[k] if not line[k].isdigit() else "0" for k in (0, n // 4, n // 2, 3 * n // 4, n))].append(i)
-    groups = list(keyed.items())
-    if len(groups) <= buckets:
-        merged: list[tuple[int, set, list[int]]] = []
-        for (n, _), members in groups:
-            mask = set(template(ls[members[0]])[0].split())
-            for m in merged:
-                if m[0] == n and len(m[1] & mask) >= share * len(m[1] | mask):
-                    m[2].extend(members)
-                    break
-            else:
-                merged.append((n, mask, list(members)))
-        sets = [sorted(m[2]) for m in merged]
-    else:
-        sets = [v for _, v in groups]
+    sets = _merged(keyed, [set(template(ls[members[0]])[0].split()) for members in keyed.values()], share)
     gone, put = set(), {}
     for members in sets:
         if len(members) < least:
