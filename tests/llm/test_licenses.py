@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from helpers import edge_docs, empty_docs
@@ -56,3 +57,36 @@ class tuple_none(tuple):
 
 def test_empty(spark):
     assert licenses.scan_licenses(empty_docs(spark)).count() == 0
+
+
+def brute_windows(text):
+    """Labels and score of all lines, and of all runs of as many words as a template has."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    *_, base, labels, score = brute(text)
+    labels = set(filter(None, labels.split(",")))
+    ws = re.findall(word, "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    for t, label in licenses.TEMPLATES:
+        s, n = set(t.split()), len(t.split())
+        common = max(len(set(ws[i : i + n]) & s) for i in range(len(ws) + 1))
+        if common >= math.ceil(0.8 * len(s) - 1e-9):
+            labels.add(label)
+            score = max(score, common / len(s))
+    return ",".join(sorted(labels)), score
+
+
+BSD = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(3)
+    texts = [BSD, "some code\n" * 40 + BSD, BSD.replace("\n", "\n" + "filler words that part the notice " * 4)]
+    for t, _ in licenses.TEMPLATES:
+        ws = t.split()
+        texts += ["\n".join([" ".join(ws[: len(ws) // 2]), " ".join(ws[len(ws) // 2 :])]), "# " + "\n# ".join(ws)]
+        for _ in range(6):
+            noisy = [w for x in ws if rng.random() > 0.1 for w in ([x, "odd"] if rng.random() < 0.1 else [x])]
+            texts.append("".join(w + rng.choice(" \n") for w in ["before"] * rng.randint(0, 3) + noisy + ["the"] * rng.randint(0, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs).collect()}
+    assert got[0] == got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
+    assert [got[i] for i in range(len(texts))] == [brute_windows(t) for t in texts]

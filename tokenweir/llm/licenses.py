@@ -1,8 +1,9 @@
 """License scans, in DataFrame expressions only.
 
 Base labels: places where a phrase's words stand consecutively. Further labels come from
-an exact set-similarity join of text blocks (lines) with notice templates: the tokens of
-all templates are ordered by their frequency in the whole corpus, rarest first; a block
+an exact set-similarity join of text blocks with notice templates. Blocks are the lines,
+and for notices wrapped over lines all runs of as many words of the text as the template
+has, whatever line ends stand between them. The tokens of all templates are ordered by their frequency in the whole corpus, rarest first; a block
 can only reach the containment threshold if it holds a token of the template's prefix
 (prefix filter), enough distinct template tokens (length filter), and enough tokens after
 the first common one on both sides (positional filter). What is left is verified.
@@ -99,9 +100,10 @@ def token_order(docs: DataFrame, templates) -> list[str]:
 
 
 def template_matches(text: Column, templates, order: list[str], threshold: float) -> Column:
-    """array<struct<label, containment>>: one element per block and template that match."""
+    """array<struct<label, containment>>: one element per line and template that match, and per text and template whose windows do."""
     rank = {w: i for i, w in enumerate(order)}
     sets = [(sorted({rank[w] for w in s.split()}), label) for s, label in templates]
+    lengths = [len(s.split()) for s, _ in templates]
     need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s, _ in sets]
     prefix = sorted({order[r] for (s, _), o in zip(sets, need) for r in s[: len(s) - o + 1]})
     probe = rf"(?i)(?<![{W}])(?:{'|'.join(prefix)})(?![{W}])"
@@ -119,12 +121,19 @@ def template_matches(text: Column, templates, order: list[str], threshold: float
                 F.array(*map(F.lit, s)).alias("s"),
                 F.array(*map(F.lit, s[: len(s) - o + 1])).alias("prefix"),
                 F.lit(o).alias("need"),
+                F.lit(n).alias("n"),
                 F.lit(label).alias("label"),
             )
-            for (s, label), o in zip(sets, need)
+            for (s, label), o, n in zip(sets, need, lengths)
         ]
     )
 
+    def contained(scored: Column) -> Column:
+        return F.transform(
+            F.filter(scored, lambda m: m["common"] >= m["need"]),
+            lambda m: F.struct(m["label"].alias("label"), (m["common"].cast("double") / m["size"]).alias("containment")),
+        )
+
     def matches(b: Column) -> Column:
         def positional(t: Column) -> Column:
             first = F.array_min(F.array_intersect(b, t["prefix"]))
@@ -145,12 +154,39 @@ def template_matches(text: Column, templates, order: list[str], threshold: float
                 F.size(t["s"]).alias("size"),
             ),
         )
-        return F.transform(
-            F.filter(scored, lambda m: m["common"] >= m["need"]),
-            lambda m: F.struct(m["label"].alias("label"), (m["common"].cast("double") / m["size"]).alias("containment")),
-        )
+        return contained(scored)
+
+    # Only texts of several lines: within one line a window holds no more than the line does.
+    wrapped = F.rlike(text, F.lit(probe)) & F.contains(text, F.lit("\n"))
+    hits = F.filter(
+        F.transform(
+            F.when(wrapped, lowered_words(text)).otherwise(F.array().cast("array<string>")),
+            lambda w, i: F.struct((F.array_position(vocab, w).cast("int") - 1).alias("r"), i.alias("p")),
+        ),
+        lambda h: h["r"] >= 0,
+    )
+
+    def windows(h: Column) -> Column:
+        """The best window of each template; h: ranks and places of the template tokens of a text."""
+
+        def best(t: Column) -> Column:
+            def common(o: Column) -> Column:
+                reach = lambda j: F.element_at(o, j + t["need"] - 1)["p"] - F.element_at(o, j)["p"] < t["n"]
+                starts = F.filter(F.sequence(F.lit(1), F.size(o) - t["need"] + 1), reach)
+                inside = lambda j: F.filter(F.slice(o, j, t["n"]), lambda x: x["p"] - F.element_at(o, j)["p"] < t["n"])
+                return F.array_max(F.transform(starts, lambda j: F.size(F.array_distinct(F.transform(inside(j), lambda x: x["r"])))))
+
+            own = F.filter(h, lambda x: F.array_contains(t["s"], x["r"]))
+            most = F.element_at(F.transform(F.array(own), common), 1)
+            return F.struct(t["label"].alias("label"), t["need"].alias("need"), most.alias("common"), F.size(t["s"]).alias("size"))
+
+        def live(b: Column) -> Column:
+            return F.filter(table, lambda t: F.arrays_overlap(b, t["prefix"]) & (F.size(F.array_intersect(b, t["s"])) >= t["need"]))
+
+        lived = F.flatten(F.transform(F.array(F.array_distinct(F.transform(h, lambda x: x["r"]))), live))
+        return contained(F.transform(lived, best))
 
-    return F.flatten(F.transform(ranks, matches))
+    return F.concat(F.flatten(F.transform(ranks, matches)), F.flatten(F.transform(F.array(hits), windows)))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
