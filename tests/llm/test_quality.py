@@ -76,3 +76,13 @@ def test_edges(spark):
             assert not (r.base_failed and r.kept)
     assert quality.score_quality(empty_docs(spark), None).count() == 0
     assert quality.train(empty_docs(spark), labels) is None
+
+
+def test_sample_bounds(spark):
+    """Of 2,600 labelled rows and of 20 MB of texts none is left out."""
+    docs = spark.range(2600).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(2600).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    assert quality.labelled_sample(docs, labels, "quality", quality.SAMPLE_ROWS).count() == 2600
+    texts = [f"{i} " * 100_000 for i in range(10, 80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70)), pa.array([i % 2 for i in range(70)]), pa.array(texts)], names=["i", "y", "t"])
+    assert sum(map(len, texts)) > 20_000_000 and len(quality.read_sample(iter([batch]), quality.SAMPLE_BYTES)[0]) == 70

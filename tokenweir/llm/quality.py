@@ -27,8 +27,8 @@ from tokenweir.llm.common import small_batches
 BITS = 16
 SCALE = 50.0
 GRAMS = (2, 3, 4)
-SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 1 << 24
+SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 1 << 25
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_AT = 0.5
