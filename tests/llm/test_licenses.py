@@ -90,3 +90,27 @@ def test_wrapped_notices(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs).collect()}
     assert got[0] == got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
     assert [got[i] for i in range(len(texts))] == [brute_windows(t) for t in texts]
+
+
+def test_places_after_astral_characters(spark):
+    texts = ["😀 😀 😀 😀 a under the MIT license b", "😀😀 é 日本 under the mit license 😀 under\nthe-MIT license", "𝒜𝒷 cc by nc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(3)] == [brute(t)[:4] for t in texts]
+    assert got[0] == (10, 1, 5, 5)
+
+
+def test_groups_of_templates_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate([BSD, "Licensed under the Apache License, Version 2.0", None, *(t for t, _ in licenses.TEMPLATES)])), "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, licenses.scan_licenses(docs).collect()), key=str)
+    whole = rows()
+    for k in (1, 3):
+        monkeypatch.setattr(licenses, "GROUP_TEMPLATES", k)
+        assert rows() == whole
+    assert all(r.labels == r.base_labels for r in licenses.scan_licenses(docs, []).collect())
+
+
+def test_very_long_text(spark):
+    long = "filler words " * 50_000 + BSD + " more" * 50_000
+    r = licenses.scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert (r.labels, r.score, r.n_words) == ("bsd", 1.0, brute(long)[0])

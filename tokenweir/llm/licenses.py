@@ -3,15 +3,21 @@
 Base labels: places where a phrase's words stand consecutively. Further labels come from
 an exact set-similarity join of text blocks with notice templates. Blocks are the lines,
 and for notices wrapped over lines all runs of as many words of the text as the template
-has, whatever line ends stand between them. The tokens of all templates are ordered by their frequency in the whole corpus, rarest first; a block
-can only reach the containment threshold if it holds a token of the template's prefix
-(prefix filter), enough distinct template tokens (length filter), and enough tokens after
-the first common one on both sides (positional filter). What is left is verified.
-The templates are a parameter and at most MAX_TEMPLATES; they travel as literals, the
-blocks never leave their row, so no key can be hot and nothing is shuffled.
+has, whatever line ends stand between them. The tokens of all templates are ordered by
+their frequency in the whole corpus, rarest first. An index leads from the tokens of the
+templates' prefixes to the templates that a text can hold at all (prefix filter); enough
+of a template's tokens have to stand in the text and then in the block (length filter),
+enough of them after the first common one on both sides (positional filter). What is left
+is verified.
+
+Templates travel as literals, GROUP_TEMPLATES at a time; more of them are more columns of
+the same scan, with the same results. The blocks never leave their row, so no key can be
+hot and nothing is shuffled.
 
 Defined cases: null text is empty (no words, null first_word and last_word, empty labels,
-score 0); repeated rows and ids give a row each; other columns are ignored.
+score 0); a very long text is scanned whole, in its row; of equal scores the largest is
+one and the same; a block just at the threshold matches; repeated rows and ids give a row
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +43,8 @@ TEMPLATES = [
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
 ]
-MAX_TEMPLATES = 1000
+#: Templates that are compared in one column.
+GROUP_TEMPLATES = 500
 #: Word characters of text that still has capitals, inside a Java class.
 W = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 
@@ -56,33 +63,44 @@ def lowered_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(f"[{W}]+"), F.lit(0))
 
 
-def base_places(docs: DataFrame) -> DataFrame:
-    """doc_id, t (text or ''), n_words, n_base, first_word, last_word, base (label array)."""
+def strings(values) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def word_tables(docs: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """doc_id, t (text or ''), n_words, pw (words of PHRASES in the text), v0, v1 ...: tokens of each group in the text, in its order."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", t.alias("t"), n_words(t).alias("n_words"))
-    names = []
-    for i, phrase in enumerate(PHRASES):
-        df = df.withColumn(f"n{i}", F.regexp_count("t", F.lit(phrase_pattern(phrase))))
-        names.append(f"n{i}")
-    start, last = [], []
-    for i, phrase in enumerate(PHRASES):
-        pat = phrase_pattern(phrase)
-        found = F.col(f"n{i}") > 0
-        start.append(F.when(found, n_words(F.expr(f"substr(t, 1, regexp_instr(t, {sql_str(pat)}) - 1)"))))
-        last.append(F.when(found, n_words(F.regexp_extract("t", "(?s)^(.*)" + pat, 1))))
-    return df.select(
+    words = docs.select("doc_id", t.alias("t"), lowered_words(t).alias("ws"))
+    phrase_words = sorted({w for p in PHRASES for w in p.split()})
+    return words.select(
         "doc_id",
         "t",
-        "n_words",
-        sum(F.col(n) for n in names).cast("long").alias("n_base"),
-        F.array_min(F.array(*start)).alias("first_word"),
-        F.array_max(F.array(*last)).alias("last_word"),
-        F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())])).alias("base"),
+        F.size("ws").cast("long").alias("n_words"),
+        F.array_intersect("ws", strings(phrase_words)).alias("pw"),
+        *[F.array_intersect(strings(order), F.array_intersect("ws", strings(order))).alias(f"v{k}") for k, order in enumerate(groups)],
     )
 
 
-def sql_str(s: str) -> str:
-    return "r'" + s.replace("'", "\\'") + "'"
+def base_places(df: DataFrame) -> DataFrame:
+    """`df` (t, pw) with n_base, first_word, last_word and base (label array); only texts with all words of a phrase are searched."""
+    counts = []
+    for phrase in PHRASES:
+        own = sorted(set(phrase.split()))
+        counts.append(F.when(F.size(F.array_intersect("pw", strings(own))) == len(own), F.regexp_count("t", F.lit(phrase_pattern(phrase)))).otherwise(F.lit(0)))
+    df = df.withColumns({f"n{i}": c for i, c in enumerate(counts)})
+    start, last = [], []
+    for i, phrase in enumerate(PHRASES):
+        before = lambda more, p=phrase: n_words(F.regexp_extract("t", f"(?s)^(.*{more})" + phrase_pattern(p), 1))
+        start.append(F.when(F.col(f"n{i}") > 0, before("?")))
+        last.append(F.when(F.col(f"n{i}") > 0, before("")))
+    return df.withColumns(
+        {
+            "n_base": sum(F.col(f"n{i}") for i in range(len(PHRASES))).cast("long"),
+            "first_word": F.array_min(F.array(*start)),
+            "last_word": F.array_max(F.array(*last)),
+            "base": F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())])),
+        }
+    )
 
 
 def token_order(docs: DataFrame, templates) -> list[str]:
@@ -99,113 +117,99 @@ def token_order(docs: DataFrame, templates) -> list[str]:
     return sorted(vocab, key=lambda w: (counts[w], w))
 
 
-def template_matches(text: Column, templates, order: list[str], threshold: float) -> Column:
-    """array<struct<label, containment>>: one element per line and template that match, and per text and template whose windows do."""
-    rank = {w: i for i, w in enumerate(order)}
-    sets = [(sorted({rank[w] for w in s.split()}), label) for s, label in templates]
-    lengths = [len(s.split()) for s, _ in templates]
-    need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s, _ in sets]
-    prefix = sorted({order[r] for (s, _), o in zip(sets, need) for r in s[: len(s) - o + 1]})
-    probe = rf"(?i)(?<![{W}])(?:{'|'.join(prefix)})(?![{W}])"
-    blocks = F.filter(F.split(text, "\n"), lambda b: F.rlike(b, F.lit(probe)))
-    vocab = F.array(*map(F.lit, order))
-    ranks = F.transform(
-        blocks,
-        lambda b: F.array_sort(
-            F.transform(F.array_intersect(lowered_words(b), vocab), lambda w: F.array_position(vocab, w).cast("int") - 1)
-        ),
-    )
-    table = F.array(
-        *[
-            F.struct(
-                F.array(*map(F.lit, s)).alias("s"),
-                F.array(*map(F.lit, s[: len(s) - o + 1])).alias("prefix"),
-                F.lit(o).alias("need"),
-                F.lit(n).alias("n"),
-                F.lit(label).alias("label"),
-            )
-            for (s, label), o, n in zip(sets, need, lengths)
-        ]
-    )
+def needed(size: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * size - 1e-9))
 
-    def contained(scored: Column) -> Column:
-        return F.transform(
-            F.filter(scored, lambda m: m["common"] >= m["need"]),
-            lambda m: F.struct(m["label"].alias("label"), (m["common"].cast("double") / m["size"]).alias("containment")),
-        )
+
+def candidates(held: Column, templates, order: list[str], threshold: float) -> Column:
+    """The templates that a text can hold, as structs; held: the text's tokens in global order, rarest first."""
+    rank = {w: i for i, w in enumerate(order)}
+    index: dict[str, list[Column]] = {}
+    for text, label in templates:
+        own = sorted(set(text.split()), key=rank.__getitem__)
+        need = needed(len(own), threshold)
+        prefix = own[: len(own) - need + 1]
+        entry = F.struct(
+            strings(own).alias("s"), strings(prefix).alias("prefix"), F.lit(need).alias("need"),
+            F.lit(len(text.split())).alias("n"), F.lit(label).alias("label"),
+        )
+        for w in prefix:
+            index.setdefault(w, []).append(entry)
+    table = F.map_from_arrays(strings(index), F.array(*[F.array(*v) for v in index.values()]))
+    found = F.flatten(F.transform(F.array_intersect(held, strings(index)), lambda w: F.element_at(table, w)))
+    return F.filter(F.array_distinct(found), lambda c: F.size(F.array_intersect(held, c["s"])) >= c["need"])
+
+
+MATCHES = "array<struct<label:string,containment:double>>"
+
+
+def line_matches(text: Column, live: Column, held: Column) -> Column:
+    """MATCHES: one element per line and candidate template that match."""
+    lines = F.transform(F.split(text, "\n"), lambda b: F.array_intersect(held, lowered_words(b)))
+
+    def positional(b: Column, c: Column) -> Column:
+        first = F.element_at(F.array_intersect(b, c["prefix"]), 1)
+        rest = F.least(F.size(b) - F.array_position(b, first).cast("int"), F.size(c["s"]) - F.array_position(c["s"], first).cast("int"))
+        return rest + 1 >= c["need"]
 
     def matches(b: Column) -> Column:
-        def positional(t: Column) -> Column:
-            first = F.array_min(F.array_intersect(b, t["prefix"]))
-            rest = F.least(
-                F.size(b) - F.array_position(b, first).cast("int"), F.size(t["s"]) - F.array_position(t["s"], first).cast("int")
-            )
-            return rest + 1 >= t["need"]
-
-        live = F.filter(
-            F.filter(table, lambda t: F.arrays_overlap(b, t["prefix"]) & (F.size(b) >= t["need"])), positional
-        )
-        scored = F.transform(
-            live,
-            lambda t: F.struct(
-                t["label"].alias("label"),
-                t["need"].alias("need"),
-                F.size(F.array_intersect(b, t["s"])).alias("common"),
-                F.size(t["s"]).alias("size"),
-            ),
-        )
-        return contained(scored)
-
-    # Only texts of several lines: within one line a window holds no more than the line does.
-    wrapped = F.rlike(text, F.lit(probe)) & F.contains(text, F.lit("\n"))
-    hits = F.filter(
-        F.transform(
-            F.when(wrapped, lowered_words(text)).otherwise(F.array().cast("array<string>")),
-            lambda w, i: F.struct((F.array_position(vocab, w).cast("int") - 1).alias("r"), i.alias("p")),
-        ),
-        lambda h: h["r"] >= 0,
-    )
+        able = F.filter(live, lambda c: (F.size(b) >= c["need"]) & F.arrays_overlap(b, c["prefix"]))
+        able = F.filter(able, lambda c: positional(b, c))
+        common = F.transform(able, lambda c: F.struct(c.alias("c"), F.size(F.array_intersect(b, c["s"])).alias("k")))
+        return F.transform(F.filter(common, lambda m: m["k"] >= m["c"]["need"]), lambda m: matched(m["c"], m["k"]))
 
-    def windows(h: Column) -> Column:
-        """The best window of each template; h: ranks and places of the template tokens of a text."""
+    return F.flatten(F.transform(lines, matches))
 
-        def best(t: Column) -> Column:
-            def common(o: Column) -> Column:
-                reach = lambda j: F.element_at(o, j + t["need"] - 1)["p"] - F.element_at(o, j)["p"] < t["n"]
-                starts = F.filter(F.sequence(F.lit(1), F.size(o) - t["need"] + 1), reach)
-                inside = lambda j: F.filter(F.slice(o, j, t["n"]), lambda x: x["p"] - F.element_at(o, j)["p"] < t["n"])
-                return F.array_max(F.transform(starts, lambda j: F.size(F.array_distinct(F.transform(inside(j), lambda x: x["r"])))))
 
-            own = F.filter(h, lambda x: F.array_contains(t["s"], x["r"]))
-            most = F.element_at(F.transform(F.array(own), common), 1)
-            return F.struct(t["label"].alias("label"), t["need"].alias("need"), most.alias("common"), F.size(t["s"]).alias("size"))
+def matched(c: Column, common: Column) -> Column:
+    return F.struct(c["label"].alias("label"), (common.cast("double") / F.size(c["s"])).alias("containment"))
 
-        def live(b: Column) -> Column:
-            return F.filter(table, lambda t: F.arrays_overlap(b, t["prefix"]) & (F.size(F.array_intersect(b, t["s"])) >= t["need"]))
 
-        lived = F.flatten(F.transform(F.array(F.array_distinct(F.transform(h, lambda x: x["r"]))), live))
-        return contained(F.transform(lived, best))
+def window_matches(places: Column, live: Column) -> Column:
+    """MATCHES: the best window of each candidate template whose windows match; places: (w, p) of template tokens."""
 
-    return F.concat(F.flatten(F.transform(ranks, matches)), F.flatten(F.transform(F.array(hits), windows)))
+    def best(own: Column, c: Column) -> Column:
+        at = lambda j: F.element_at(own, j)["p"]
+        # a window that starts at a token and reaches the need-th one after it
+        starts = F.filter(F.sequence(F.lit(1), F.size(own) - c["need"] + 1), lambda j: at(j + c["need"] - 1) - at(j) < c["n"])
+        inside = lambda j: F.filter(F.slice(own, j, c["n"]), lambda x: x["p"] - at(j) < c["n"])
+        return F.array_max(F.transform(starts, lambda j: F.size(F.array_distinct(F.transform(inside(j), lambda x: x["w"])))))
+
+    own = F.transform(live, lambda c: F.struct(c.alias("c"), F.filter(places, lambda x: F.array_contains(c["s"], x["w"])).alias("own")))
+    scored = F.transform(
+        F.filter(own, lambda m: F.size(m["own"]) >= m["c"]["need"]),
+        lambda m: F.struct(m["c"].alias("c"), best(m["own"], m["c"]).alias("k")),
+    )
+    return F.transform(F.filter(scored, lambda m: m["k"] >= m["c"]["need"]), lambda m: matched(m["c"], m["k"]))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates; scan in groups of that many")
+    groups = [templates[i : i + GROUP_TEMPLATES] for i in range(0, len(templates), GROUP_TEMPLATES)]
     order = token_order(docs, templates)
-    found = base_places(docs).withColumn("m", template_matches(F.col("t"), templates, order, threshold))
+    orders = [[w for w in order if w in vocab] for vocab in ({w for t, _ in g for w in t.split()} for g in groups)]
+    df = base_places(word_tables(docs, orders))
+    none, t = F.array().cast(MATCHES), F.col("t")
+    for k, (g, own) in enumerate(zip(groups, orders)):
+        df = df.withColumn(f"live{k}", candidates(F.col(f"v{k}"), g, own, threshold))
+    # lines and places are taken apart again only in the few texts that some template may match
+    for k, own in enumerate(orders):
+        live, held = F.col(f"live{k}"), F.col(f"v{k}")
+        hits = F.filter(F.transform(lowered_words(t), lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: F.array_contains(held, x["w"]))
+        both = F.concat(line_matches(t, live, held), F.when(F.contains(t, F.lit("\n")), F.flatten(F.transform(F.array(hits), lambda h: window_matches(h, live)))).otherwise(none))
+        df = df.withColumn(f"m{k}", F.when(F.size(live) > 0, both).otherwise(none))
+    m = F.concat(*[F.col(f"m{k}") for k in range(len(groups))]) if groups else none
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return found.select(
+    return df.withColumn("m", m).select(
         "doc_id",
         "n_words",
         "n_base",
         "first_word",
         "last_word",
         join(F.col("base")).alias("base_labels"),
-        join(F.concat("base", F.transform("m", lambda m: m["label"]))).alias("labels"),
+        join(F.concat("base", F.transform("m", lambda x: x["label"]))).alias("labels"),
         F.greatest(
             F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
-            F.coalesce(F.array_max(F.transform("m", lambda m: m["containment"])), F.lit(0.0)),
+            F.coalesce(F.array_max(F.transform("m", lambda x: x["containment"])), F.lit(0.0)),
         ).alias("score"),
     )

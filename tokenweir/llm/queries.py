@@ -126,11 +126,18 @@ tp AS (SELECT id, label, unnest(string_split(tpl, ' ')) AS w FROM (VALUES {value
 tpd AS (SELECT DISTINCT id, label, w FROM tp),
 tn AS (SELECT id, count(*) AS size FROM tpd GROUP BY id),
 ln AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
-lb AS (SELECT row_number() OVER () AS b, k, line FROM ln
-       WHERE line LIKE '%licen%' OR line LIKE '%permi%' OR line LIKE '% by%'),
+lb AS (SELECT row_number() OVER () AS b, k, line FROM ln),
 lw AS (SELECT DISTINCT b, k, w FROM (SELECT b, k, unnest(regexp_extract_all(line, {_WORDS})) AS w FROM lb)),
 cm AS (SELECT b, k, tpd.id, tpd.label, count(*) AS c FROM lw JOIN tpd ON lw.w = tpd.w GROUP BY b, k, tpd.id, tpd.label),
-mt AS (SELECT k, label, c * 1.0 / size AS c, FALSE AS base FROM cm JOIN tn ON cm.id = tn.id
+pw AS (SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM w),
+tl AS (SELECT id, label, len(string_split(tpl, ' ')) AS len FROM (VALUES {values}) v(id, tpl, label)),
+ht AS (SELECT k, tpd.id, tpd.label, pw.w, p FROM pw JOIN tpd ON pw.w = tpd.w),
+lv AS (SELECT k, id FROM ht GROUP BY k, id HAVING count(DISTINCT w) >= ceil(0.8 * (SELECT size FROM tn WHERE tn.id = ht.id) - 1e-9)),
+hl AS (SELECT ht.* FROM ht JOIN lv ON ht.k = lv.k AND ht.id = lv.id),
+wm AS (SELECT x.k, x.id, x.label, x.p, count(DISTINCT y.w) AS c FROM hl x JOIN tl ON tl.id = x.id
+       JOIN hl y ON y.k = x.k AND y.id = x.id AND y.p >= x.p AND y.p < x.p + tl.len GROUP BY x.k, x.id, x.label, x.p),
+mt AS (SELECT k, label, c * 1.0 / size AS c, FALSE AS base
+       FROM (SELECT k, id, label, c FROM cm UNION ALL SELECT k, id, label, c FROM wm) cm JOIN tn ON cm.id = tn.id
        WHERE c >= ceil(0.8 * size - 1e-9)),
 al AS (SELECT * FROM mt UNION ALL {' UNION ALL '.join(base)}),
 ag AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM al GROUP BY k),
