@@ -1,6 +1,7 @@
 """Sequential algorithms on literal inputs, and invariants on random ones."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -194,10 +195,28 @@ def test_cached_prefix_is_frozen():
 def test_presets_never_grow_content(name):
     log = "\n".join(f"2024-01-01 10:00:{i % 60:02d} INFO did step {i}" for i in range(120))
     body = {"model": "m", "messages": [{"role": "user", "content": log}, {"role": "user", "content": "what failed?"}]}
-    d = C.compress_body(json.dumps(body), name)
+    d = C.compress_body(json.dumps(body), name, provider="openai")
     for stage, applied, before, after, _ in d["stages"]:
         assert after == before if not applied else after < before or stage in ("image", "output", "cache")
-    assert C.compress_body('{"messages":[]}', "safe")["body"] == '{"messages":[]}'
+    assert C.compress_body('{"messages":[]}', "safe", provider="openai")["body"] == '{"messages":[]}'
+    with pytest.raises(ValueError):
+        C.compress_body('{"messages":[]}', "safe")
+
+
+def test_image_detail():
+    image = {"type": "image_url", "image_url": {"url": "data:image/png;base64,xx", "detail": "high"}}
+    body = json.dumps({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": [image]}]})
+    for tier, want in (("", "high"), ("low", "low")):
+        d = C.compress_body(body, config=replace(Config(), image=True, image_detail=tier))
+        assert json.loads(d["body"])["messages"][1]["content"][0]["image_url"]["detail"] == want
+
+
+def test_counts_of_unchanged_texts_are_kept(monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "estimate", lambda t: asked.append(t) or len(t))
+    body = {"messages": [{"role": "system", "content": "s"}, *({"role": "user", "content": f"text {i}"} for i in range(5))]}
+    C.compress_body(json.dumps(body), "aggressive")
+    assert all(asked.count(f"text {i}") == 1 for i in range(5))
 
 
 def test_settings():

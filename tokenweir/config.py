@@ -40,6 +40,7 @@ class Config:
     tool_minify: bool = False
     tool_chars: int = 300
     image: bool = False
+    image_detail: str = ""
     output: bool = False
     output_level: str = "terse"
     output_frugal: bool = False

@@ -34,23 +34,44 @@ def _blocks(ls: list[str]) -> list[str | None]:
     return out
 
 
+class Alike:
+    """Fingerprints by bands: of two that differ in `distance` bits at most, one of distance + 1 bands is equal."""
+
+    def __init__(self, distance: int):
+        self.distance, self.width = distance, -(-64 // (distance + 1))
+        self.held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def _bands(self, h: int):
+        return ((k, h >> k & (1 << self.width) - 1) for k in range(0, 64, self.width))
+
+    def first(self, h: int) -> int | None:
+        """The smallest name of a fingerprint near h."""
+        near = [name for band in self._bands(h) for p, name in self.held.get(band, ()) if (p ^ h).bit_count() <= self.distance]
+        return min(near, default=None)
+
+    def add(self, h: int, name: int) -> None:
+        for band in self._bands(h):
+            self.held.setdefault(band, []).append((h, name))
+
+
 def dedup(text: str, near: bool = False, distance: int = 3) -> str:
     """Repeated lines once, at their first place, with their number; blanks stay."""
     ls = lines(text)
     group: dict[tuple, int] = {}
-    prints: list[int] = []
+    alike = Alike(distance)
     where, count = [-1] * len(ls), []
     for i, (line, block) in enumerate(zip(ls, _blocks(ls))):
         if not line.strip():
             continue
         g = group.get((line, block))
-        if g is None and near and block is None:
-            h = simhash(line)
-            g = next((k for k, p in enumerate(prints) if (p ^ h).bit_count() <= distance), None)
+        if g is None:
+            h = simhash(line) if near else 0
+            g = alike.first(h) if near and block is None else None
         if g is None:
             g = len(count)
             count.append(0)
-            prints.append(simhash(line) if near else 0)
+            if near:
+                alike.add(h, g)
         group[line, block] = g
         count[g] += 1
         where[i] = g

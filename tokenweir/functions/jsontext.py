@@ -347,4 +347,4 @@ def is_structured(text: str) -> bool:
         if 4 * sum(bool(re.match(r"\s*[\w.\-]+\s*[:=]\s*\S", x)) for x in ls) >= 3 * len(ls):
             return True
     solid = "".join(text.split())
-    return len(solid) >= 40 and 100 * sum(not c.isalnum() for c in solid) >= 22 * len(solid)
+    return len(solid) >= 40 and 100 * (len(solid) - sum(map(str.isalnum, solid))) >= 22 * len(solid)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import regex
+import xxhash
 
 WORD = regex.compile(r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*")
 _UNIT = regex.compile(r"[\p{L}\p{N}]{1,4}|(?<=\s)\s{1,4}|[^\p{L}\p{N}\s]")
@@ -22,9 +24,9 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def language(text: str) -> str:
-    """The language whose function words are most frequent in the first 8 KiB; English if none."""
-    ws = words(text[:8192])
+def language(text: str, chars: int | None = 8192) -> str:
+    """The language whose function words are most frequent in the first `chars` characters (None: in all); English if none."""
+    ws = words(text[:chars])
     votes = {k: sum(w in v for w in ws) for k, v in _STOPS.items()}
     return max(votes, key=lambda k: (votes[k], k == "en"))
 
@@ -56,11 +58,8 @@ def fnv1a(data: bytes) -> int:
 
 def simhash(text: str) -> int:
     """64 sign bits of the summed hashes of a text's words; 0 without words."""
-    import xxhash
-
-    votes = [0] * 64
-    for w in words(text):
-        h = xxhash.xxh64_intdigest(w.encode(), 1)
-        for k in range(64):
-            votes[k] += 1 if h >> k & 1 else -1
-    return sum(1 << k for k in range(64) if votes[k] > 0)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 1) for w in words(text)]
+    if not hashes:
+        return 0
+    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").tobytes(), "little")

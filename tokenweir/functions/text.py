@@ -26,6 +26,11 @@ VARIABLE = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: a lambda's argument is never written out again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line break opens no line."""
     body = F.regexp_replace(text, r"\r?\n\z", "")
@@ -137,9 +142,15 @@ def significant(x: Column, digits: int = 4) -> Column:
     return F.when((x == 0) | (x == F.floor(x)), x).otherwise(F.round(x * f) / f)
 
 
+def mentions(text: Column, name: Column) -> Column:
+    """Whether `name`, taken literally, stands in the text with no identifier character beside it."""
+    quoted = F.concat(F.lit(r"(?<!\w)\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return F.rlike(text, quoted)
+
+
 def standalone(text: Column, name: str) -> Column:
     """A mention of `name` that no identifier character touches."""
-    return F.rlike(text, F.lit(rf"(?<![\w]){name}(?![\w])"))
+    return mentions(text, F.lit(name))
 
 
 def subtokens(name: Column) -> Column:

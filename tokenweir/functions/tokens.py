@@ -21,9 +21,10 @@ def estimate(text: Column) -> Column:
     return F.floor(F.coalesce(F.regexp_count(text, F.lit(_UNIT)), F.lit(0)) * SCALE + 0.5).cast("long")
 
 
-def counter_label(provider: Column) -> Column:
-    """Which counter stands behind a count: exact for openai with a vocabulary, else approximate."""
-    return F.when(provider == "openai", F.lit("o200k-approx")).otherwise(F.concat(F.lit("approx("), provider, F.lit(")")))
+def counter_label(provider: Column, vocabulary: str | None = None) -> Column:
+    """Which counter stands behind a count: for openai the given vocabulary, else approximate."""
+    exact = F.lit(vocabulary) if vocabulary else F.lit("o200k-approx")
+    return F.when(provider == "openai", exact).otherwise(F.concat(F.lit("approx("), provider, F.lit(")")))
 
 
 def bpe_counter(ranks_path: str, pattern: str | None = None):

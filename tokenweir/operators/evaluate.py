@@ -22,15 +22,30 @@ def _tokens(answer: Column) -> Column:
     return F.filter(F.split(X.answer_normal(answer), " "), lambda w: w != "")
 
 
+def _common(a: Column, g: Column) -> Column:
+    """Size of the common part of two sorted arrays, repetitions counted: one step per element of either."""
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("c"))
+    step = lambda s, i, j, c: F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["c"] + c).alias("c"))
+
+    def merge(s: Column, _: Column) -> Column:
+        x, y = F.get(a, s["i"] - 1), F.get(g, s["j"] - 1)
+        return (
+            F.when(x.isNull() | y.isNull(), s).when(x == y, step(s, 1, 1, 1)).when(x < y, step(s, 1, 0, 0)).otherwise(step(s, 0, 1, 0))
+        )
+
+    steps = F.when(F.size(a) + F.size(g) > 0, F.sequence(F.lit(1), F.size(a) + F.size(g))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, merge)["c"]
+
+
 def token_f1(pairs: DataFrame) -> DataFrame:
     """id and F1 of common tokens, counted with repetitions (columns id, answer, gold); both empty give 1.
 
-    Token counts are partial aggregates, so long answers cost no more than their words.
+    Both texts stand in one row, so nothing is shuffled: their sorted tokens are merged there.
     """
-    sides = pairs.select("id", _tokens(F.col("answer")).alias("a"), _tokens(F.col("gold")).alias("g"))
-    both = sides.select("id", F.explode(F.concat(F.transform("a", lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("g", lambda w: F.struct(w.alias("w"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("t"))
-    n = both.groupBy("id", "t.w").agg(F.sum("t.x").alias("x"), F.sum("t.y").alias("y")).groupBy("id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.least("x", "y")).alias("c"))
-    return pairs.select("id").join(n, "id", "left").select("id", F.when(F.col("x").isNull(), 1.0).otherwise(2.0 * F.col("c") / (F.col("x") + F.col("y"))).alias("f1"))
+    none = F.array().cast("array<string>")
+    sides = pairs.select("id", *[F.coalesce(F.array_sort(_tokens(F.col(c))), none).alias(c[0]) for c in ("answer", "gold")])
+    n = F.size("a") + F.size("g")
+    return sides.select("id", F.when(n == 0, 1.0).otherwise(2.0 * _common(F.col("a"), F.col("g")) / n).alias("f1"))
 
 
 def span_match(answer: Column, gold: Column) -> Column:
@@ -70,7 +85,7 @@ def tool_call_match(call: Column, name: Column, keys: Column | None = None) -> C
     said = F.coalesce(F.get_json_object(call, "$.name"), F.get_json_object(call, "$.function.name"))
     args = F.coalesce(F.get_json_object(call, "$.arguments"), F.get_json_object(call, "$.input"))
     same = F.lit(True) if keys is None else F.coalesce(F.array_sort(F.json_object_keys(args)) == F.array_sort(keys), F.lit(False))
-    prose = F.rlike(call, F.concat(F.lit(r"(?<!\w)"), name, F.lit(r"(?!\w)")))
+    prose = X.mentions(call, name)
     return F.when(said.isNotNull(), (said == name) & same).otherwise(prose)
 
 
@@ -108,23 +123,61 @@ def percentiles(rows: DataFrame, group: str, value: str, qs=(0.5, 0.95)) -> Data
     return rows.groupBy(group).agg(*[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in qs])
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 7, buckets: int = 200) -> DataFrame:
-    """95 % bootstrap interval of the mean per group.
+#: Rows and draws worked on at once, and groups whose sums a task holds.
+BLOCK, HELD_GROUPS = 1000, 200
 
-    A group is first reduced to sums of hash buckets (a partial aggregate), and buckets
-    are drawn instead of rows, so that no group has to fit into a task.
-    """
-    b = F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(buckets))
-    small = rows.groupBy(group, b.alias("b")).agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("s"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        pick = rng.integers(0, len(pdf), (draws, len(pdf)))
-        n, s = pdf["n"].to_numpy()[pick].sum(axis=1), pdf["s"].to_numpy()[pick].sum(axis=1)
-        lo, hi = np.quantile(s / np.maximum(n, 1), [0.025, 0.975])
-        return pd.DataFrame({"g": [str(pdf[group].iloc[0])], "mean": [pdf["s"].sum() / max(1, pdf["n"].sum())], "lo": [lo], "hi": [hi]})
+def bootstrap(rows: DataFrame, group: str, value: str, key: list[str], weight: str | None = None, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """95 % bootstrap interval of the mean per group, of `value` or, with `weight`, of value / weight sums.
 
-    return small.groupBy(group).applyInPandas(draw, "g string, mean double, lo double, hi double")
+    Every row is drawn Poisson(1) times, by a hash of its key, the draw and the seed, so
+    reruns and partitionings agree. Sums are made before the shuffle: two numbers per draw,
+    group and partition travel, and no group has to fit into a task.
+    """
+    kind = dict(rows.dtypes)[group]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    given = rows.filter(F.col(value).isNotNull() & w.isNotNull()).select(
+        F.col(group).alias("g"), F.xxhash64(F.lit(seed), *[F.col(k) for k in key]).alias("k"), F.col(value).cast("double").alias("v"), w.alias("w")
+    )
+    # Poisson(1) counts by inversion of a uniform number
+    levels = np.cumsum(1 / np.cumprod(np.concatenate([[1.0], np.arange(1, 13)]))) / np.e
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        ready = lambda: pd.concat([pd.DataFrame({"g": g, "d": np.arange(draws), "s": x[0], "n": x[1]}) for g, x in held.items()])
+        for batch in batches:
+            for g, rows in batch.groupby("g", dropna=False):
+                sums = held.setdefault(g, np.zeros((2, draws)))
+                for at in range(0, len(rows), BLOCK):
+                    part = rows.iloc[at : at + BLOCK]
+                    k, both = part.k.to_numpy().astype(np.uint64), part[["v", "w"]].to_numpy().T
+                    for d in range(0, draws, BLOCK):
+                        x = mixed(k[:, None] ^ mixed(np.arange(d, min(draws, d + BLOCK), dtype=np.uint64))[None, :])
+                        sums[:, d : d + BLOCK] += both @ np.searchsorted(levels, (x >> np.uint64(11)) / float(1 << 53))
+            if len(held) > HELD_GROUPS:
+                yield ready()
+                held.clear()
+        if held:
+            yield ready()
+
+    drawn = given.mapInPandas(partial, f"g {kind}, d int, s double, n double").groupBy("g", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    ends = drawn.groupBy("g").agg(F.percentile(mean, 0.025).alias("lo"), F.percentile(mean, 0.975).alias("hi"))
+    whole = given.groupBy(F.col("g").alias("h")).agg((F.sum("v") / F.sum("w")).alias("mean"))
+    return whole.join(ends, F.col("h").eqNullSafe(F.col("g"))).select(F.col("h").cast("string").alias("g"), "mean", "lo", "hi")
+
+
+def paired_bootstrap(rows: DataFrame, group: str, before: str, after: str, key: list[str], **options) -> DataFrame:
+    """95 % bootstrap interval of the mean difference after - before of the same cases."""
+    both = rows.withColumn("__difference", F.col(after).cast("double") - F.col(before).cast("double"))
+    return bootstrap(both, group, "__difference", key, **options)
+
+
+def mixed(v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        v = (v + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(32))
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
@@ -159,10 +212,23 @@ def prefix_stability(turns: DataFrame, group: str, pos: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     prev = F.lag("body").over(W.partitionBy(group).orderBy(pos))
-    chars = F.split("body", "")
-    same = F.zip_with(chars, F.split(prev, ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    n = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same))
-    return turns.select(group, pos, F.length("body").alias("chars"), F.when(prev.isNull(), 0).otherwise(n).cast("long").alias("shared"))
+    # the length of the common beginning, found by halving; a prefix that is shared has all shorter ones
+    halve = lambda s, _: F.struct(
+        F.when(_same(F.col("body"), F.col("__before"), _middle(s)), _middle(s)).otherwise(s["lo"]).alias("lo"),
+        F.when(_same(F.col("body"), F.col("__before"), _middle(s)), s["hi"]).otherwise(_middle(s) - 1).alias("hi"),
+    )
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.col("__both") + 2)).cast("int"))
+    turns = turns.withColumn("__before", prev).withColumn("__both", F.least(F.length("body"), F.length("__before")))
+    n = F.when(F.col("__before").isNull(), 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.col("__both").alias("hi")), halve)["lo"])
+    return turns.select(group, pos, F.length("body").alias("chars"), n.cast("long").alias("shared"))
+
+
+def _middle(s: Column) -> Column:
+    return F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+
+
+def _same(a: Column, b: Column, n: Column) -> Column:
+    return F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n)
 
 
 def residual(captures: DataFrame) -> DataFrame:

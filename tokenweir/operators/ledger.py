@@ -303,11 +303,13 @@ def cost_estimate(per_model: DataFrame, prices: DataFrame) -> DataFrame:
     j = resolve_prices(per_model, prices)
     p = F.least(F.greatest((F.col("input_before") - F.col("input_after")).cast("double") / F.col("input_before"), F.lit(0.0)), F.lit(M.MAX_SAVED_SHARE))
     net = (F.col("fresh") + F.col("cache_read") * read) * F.col("input_rate") / 1e6
+    # decimals: a sum of doubles depends on the order of its rows
+    total = lambda x, name: F.sum(x.cast("decimal(38,12)")).cast("double").alias(name)
     return j.filter("input_rate is not null").agg(
-        F.sum((F.col("input_before") - F.col("input_after")) * F.col("input_rate") / 1e6).alias("saved_usd"),
-        F.sum(F.col("input_after") * F.col("input_rate") / 1e6).alias("spend_usd"),
-        F.sum(net).alias("net_spend_usd"),
-        F.sum(net * p / (1 - p)).alias("net_saved_usd"),
+        total((F.col("input_before") - F.col("input_after")) * F.col("input_rate") / 1e6, "saved_usd"),
+        total(F.col("input_after") * F.col("input_rate") / 1e6, "spend_usd"),
+        total(net, "net_spend_usd"),
+        total(net * p / (1 - p), "net_saved_usd"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tokenweir.functions import text as X
 
@@ -34,6 +34,42 @@ def bm25(chunks: DataFrame, group: str, chunk: str, query: DataFrame, k1: float
     return chunks.select(group, chunk).join(scored, [group, chunk], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def bm25_lines(docs: DataFrame, key: str, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
+    """key and `chunks`, the document's lines as (pos, score): BM25+ against the words of its first line.
+
+    A document's lines stand in its row, and so do all statistics: nothing is shuffled, and
+    the words are taken out of the text once.
+    """
+    words = F.transform(X.lines(F.col("text")), lambda x: X.words(x))
+
+    def scored(ws: Column, q: Column, hits: Column, s: Column) -> Column:
+        def score(found: Column, w: Column) -> Column:
+            norm = k1 * (1 - b + b * F.size(w) / s["avgdl"])
+            tf = lambda t: (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
+            idf = lambda t: F.element_at(s["idf"], F.array_position(q, t).cast("int"))
+            return F.aggregate(found, F.lit(0.0), lambda z, t: z + idf(t) * (tf(t) * (k1 + 1) / (tf(t) + norm) + delta))
+
+        return F.transform(hits, lambda h, i: F.struct(i.alias("pos"), score(h, F.get(ws, i)).alias("score")))
+
+    def stats(ws: Column, q: Column, hits: Column) -> Column:
+        n = F.size(ws).cast("double")
+        df = lambda t: F.size(F.filter(hits, lambda h: F.array_contains(h, t)))
+        idf = F.transform(F.transform(q, df), lambda c: F.log(1 + (n - c + 0.5) / (c + 0.5)))
+        return F.struct(idf.alias("idf"), (F.aggregate(ws, F.lit(0).cast("long"), lambda z, w: z + F.size(w)) / n).alias("avgdl"))
+
+    first = lambda ws: F.array_distinct(F.coalesce(F.get(ws, F.lit(0)), F.array().cast("array<string>")))
+    chunks = X.let(words, lambda ws: X.let(first(ws), lambda q: X.let(
+        F.transform(ws, lambda w: F.array_intersect(w, q)), lambda hits: X.let(stats(ws, q, hits), lambda s: scored(ws, q, hits, s)))))
+    return docs.select(key, chunks.alias("chunks"))
+
+
+def best_lines(scores: DataFrame, key: str, k: int, digits: int = 9) -> DataFrame:
+    """key, pos, score, rank of the k best lines of each document, equal (rounded) scores by position."""
+    order = F.array_sort(F.transform("chunks", lambda c: F.struct((-F.round(c["score"], digits)).alias("down"), c["pos"].alias("pos"))))
+    best = scores.select(key, F.posexplode(F.slice(order, 1, k)).alias("at", "c"))
+    return best.select(key, F.col("c.pos").alias("pos"), (-F.col("c.down")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
 def ranked(scores: DataFrame, group: str, chunk: str, k: int) -> DataFrame:
     """The k best chunks of a group, equal scores by position."""
     r = F.row_number().over(W.partitionBy(group).orderBy(F.col("score").desc(), chunk))

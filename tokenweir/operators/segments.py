@@ -36,28 +36,51 @@ def _counted(line: Column, n: Column) -> Column:
     return F.when(n > 1, F.concat(line, F.lit(" [×"), n.cast("string"), F.lit("]"))).otherwise(line)
 
 
+def _run_starts(items: Column, differs) -> Column:
+    """Places (from 1) where a run of items begins: the first, and those that differ from the one before."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 1) | differs(F.element_at(items, F.greatest(i - 1, F.lit(1))), F.element_at(items, i)))
+
+
+def _lengths(starts: Column, total: Column) -> Column:
+    """(start, n) of runs that begin at `starts` among `total` items."""
+    return F.transform(starts, lambda st, k: F.struct(st.alias("st"), (F.coalesce(F.get(starts, k + 1), total + 1) - st).alias("n")))
+
+
 def dedup_exact(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Equal lines of a segment once, at their first place, with `[×n]`; blanks stay.
 
-    A line that very many rows of one segment share is pre-aggregated map-side.
+    A segment's lines stand in its row, so nothing is shuffled: the lines are sorted there
+    with their places, and runs of equal ones are counted. Texts without a repeated line
+    (distinct lines are as many) are left as they are.
     """
-    ls = exploded(segments, keys)
-    blank = F.trim("line") == ""
-    groups = ls.groupBy(*keys, "line", F.when(blank, F.col("pos")).alias("own")).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    folded = _joined(groups, keys, _counted(F.col("line"), F.col("n")))
-    most = groups.groupBy(*keys).agg(F.max("n").alias("most"))
-    out = segments.join(folded.join(most, keys).select(*keys, F.col("text").alias("folded"), "most"), keys, "left")
-    return out.withColumn("text", F.when(F.col("most") > 1, F.col("folded")).otherwise(F.col("text"))).drop("folded", "most")
+    ls = X.lines(F.col("text"))
+
+    def folded(lines: Column) -> Column:
+        own = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.when(F.trim(x) == "", i).otherwise(-1).alias("own"), i.alias("pos")))
+
+        def runs(items: Column) -> Column:
+            starts = _run_starts(items, lambda a, b: (a["line"] != b["line"]) | (a["own"] != b["own"]))
+            at = lambda r: F.element_at(items, r["st"])
+            return X.let(starts, lambda st: F.transform(_lengths(st, F.size(items)), lambda r: F.struct(at(r)["pos"].alias("pos"), _counted(at(r)["line"], r["n"]).alias("line"))))
+
+        return F.array_join(F.transform(F.array_sort(X.let(F.array_sort(own), runs)), lambda x: x["line"]), "\n")
+
+    worded = X.nonblank(F.col("__lines"))
+    again = F.size(F.array_distinct(worded)) < F.size(worded)
+    return segments.withColumn("__lines", ls).withColumn("text", F.when(again, folded(F.col("__lines"))).otherwise(F.col("text"))).drop("__lines")
 
 
 def dedup_adjacent(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of equal neighbouring lines folded, every distinct line in its place."""
-    w = W.partitionBy(*keys).orderBy("pos")
-    ls = exploded(segments, keys).withColumn("new", F.coalesce((F.col("line") != F.lag("line").over(w)) | (F.trim("line") == ""), F.lit(True)).cast("int"))
-    ls = ls.withColumn("island", F.sum("new").over(w))
-    runs = ls.groupBy(*keys, "island").agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.count("*").alias("n"))
-    folded = _joined(runs, keys, _counted(F.col("line"), F.col("n"))).withColumnRenamed("text", "folded")
-    return segments.join(folded, keys, "left").withColumn("text", F.coalesce("folded", "text")).drop("folded")
+    """Runs of equal neighbouring lines folded, every distinct line in its place; within the row."""
+
+    def folded(lines: Column) -> Column:
+        starts = _run_starts(lines, lambda a, b: (a != b) | (F.trim(b) == ""))
+        runs = X.let(starts, lambda st: F.transform(_lengths(st, F.size(lines)), lambda r: _counted(F.element_at(lines, r["st"]), r["n"])))
+        return F.array_join(runs, "\n")
+
+    ls = segments.withColumn("__lines", X.lines(F.col("text")))
+    return ls.withColumn("text", F.when(F.size("__lines") > 0, folded(F.col("__lines"))).otherwise(F.col("text"))).drop("__lines")
 
 
 def template_fold(lines: DataFrame, keys: list[str], min_run: int = 3) -> DataFrame:
@@ -190,10 +213,19 @@ def coverage(source: Column, kept: Column, query: Column) -> Column:
 
 
 def prefix_hash_chain(segments: DataFrame) -> DataFrame:
-    """A hash of every prefix of a request's turns; equal prefixes of two requests have equal hashes."""
-    w = W.partitionBy("request_id").orderBy("seg_ix").rowsBetween(W.unboundedPreceding, W.currentRow)
+    """A hash of every prefix of a request's turns; equal prefixes of two requests have equal hashes.
+
+    A turn's hash is that of the hash before it and its own role and text, so a request's
+    turns are gathered once, as hashes, and chained link by link.
+    """
     one = F.sha2(F.concat_ws("\u0001", "role", "text"), 256)
-    return segments.select("request_id", "seg_ix", F.sha2(F.array_join(F.collect_list(one).over(w), ","), 256).alias("prefix"))
+    turns = segments.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("seg_ix", one.alias("one")))).alias("turns"))
+    links = F.aggregate(
+        "turns", F.array().cast("array<string>"),
+        lambda held, t: F.concat(held, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit("")), t["one"]), 256))),
+    )
+    pairs = turns.select("request_id", F.posexplode(F.arrays_zip(F.transform("turns", lambda t: t["seg_ix"]).alias("seg_ix"), links.alias("prefix"))).alias("at", "p"))
+    return pairs.select("request_id", F.col("p.seg_ix").alias("seg_ix"), F.col("p.prefix").alias("prefix"))
 
 
 def known_prefix(chain: DataFrame, stored: DataFrame) -> DataFrame:

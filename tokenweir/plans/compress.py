@@ -8,7 +8,6 @@ question needs survives.
 
 from __future__ import annotations
 
-import copy
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -40,28 +39,60 @@ DIRECTIVE = re.compile(r"<(instructions|rules|constraints|system-reminder|import
 
 
 class Request:
-    """A parsed body with its provider; edits go through `texts`."""
+    """A parsed body with its provider; edits go through `set`.
+
+    Segments are listed once between changes, and texts are counted and split once each:
+    most stages leave most texts as they are.
+    """
 
     def __init__(self, body: dict, provider: str):
         self.body, self.provider = body, provider
+        self.counts: dict[str, int] = {}
+        self.split: dict[str, list[str]] = {}
+        self._held: list[R.Segment] | None = None
 
     def segments(self, all_of: bool = False) -> list[R.Segment]:
-        segs = R.segments(self.body, self.provider)
-        return segs if all_of else [s for s in segs if not s.frozen and not s.instruction]
+        if self._held is None:
+            self._held = R.segments(self.body, self.provider)
+        return self._held if all_of else [s for s in self._held if not s.frozen and not s.instruction]
 
     def set(self, seg: R.Segment, text: str) -> None:
-        R.assign(self.body, seg.ptr, text)
+        if text != seg.text:
+            R.assign(self.body, seg.ptr, text)
+            self._held = None
+
+    def changed(self, body: dict | None = None) -> None:
+        """Called after edits that don't go through `set`, with the body to go back to if any."""
+        self.body = self.body if body is None else body
+        self._held = None
+
+    def words(self, text: str) -> list[str]:
+        if text not in self.split:
+            self.split[text] = words(text)
+        return self.split[text]
+
+    def count(self, text: str) -> int:
+        if text not in self.counts:
+            self.counts[text] = estimate(text)
+        return self.counts[text]
 
     def tokens(self) -> int:
-        content = sum(estimate(s.text) for s in self.segments(True))
-        return content + (estimate(J.dumps(self.body["tools"])) if self.body.get("tools") else 0)
+        content = sum(self.count(s.text) for s in self.segments(True))
+        return content + (self.count(J.dumps(self.body["tools"])) if self.body.get("tools") else 0)
 
     def question(self) -> list[str]:
         """Words of the last user turn if it is short."""
         mine = [s for s in self.segments(True) if s.role == "user" and not s.tool_result]
         last = [s for s in mine if s.turn == max(x.turn for x in mine)] if mine else []
         text = " ".join(s.text for s in last)
-        return words(text) if len(text) < 600 else []
+        return self.words(text) if len(text) < 600 else []
+
+
+def clone(v):
+    """The containers of a body anew; texts and numbers don't change and are shared."""
+    if isinstance(v, dict):
+        return {k: clone(x) for k, x in v.items()}
+    return [clone(x) for x in v] if isinstance(v, list) else v
 
 
 def coverage(source: str, kept: str, query: list[str]) -> float:
@@ -136,13 +167,16 @@ def calibrate(scores: list[tuple[float, bool]], alpha: float = 0.1, recall: floa
 
 def stage_toolout(r: Request, c: Config) -> str | None:
     segs = r.segments()
-    query = {w for s in segs if len(lines(s.text)) < c.toolout_min_lines for w in words(s.text)}
+    size = [len(lines(s.text)) for s in segs]
+    query = {w for s, n in zip(segs, size) if n < c.toolout_min_lines for w in r.words(s.text)}
     seen: set[str] = set()
-    for s in segs:
+    for s, n in zip(segs, size):
+        if n < c.toolout_min_lines:
+            continue  # too short to be shaped, and to repeat what is long enough
         shape = "\n".join(folding.template(x)[0] for x in lines(s.text))
         again = shape in seen
         seen.add(shape)
-        if again or len(lines(s.text)) < c.toolout_min_lines:
+        if again:
             continue
         new = folding.shape(s.text, query, c.toolout_min_lines, c.toolout_max_lines)
         if new is not None and len(new) < len(s.text):
@@ -191,12 +225,22 @@ def stage_minify_code(r: Request, c: Config) -> str | None:
 
 
 def stage_image(r: Request, c: Config) -> str | None:
-    """Low-detail marks only; pixels need an image library."""
-    for m in r.body.get("messages") or []:
-        for b in m.get("content") if isinstance(m.get("content"), list) else []:
+    """Sets the detail tier that the configuration asks for (`low` is lossy and costs a flat price); none leaves it.
+
+    Pixels stay: scaling embedded images needs an image library.
+    """
+    if not c.image_detail or r.provider != "openai":
+        return None
+    marked = 0
+    for m in r.body.get("messages") or r.body.get("input") or []:
+        for b in m.get("content") if isinstance(m, dict) and isinstance(m.get("content"), list) else []:
             if isinstance(b, dict) and b.get("type") == "image_url" and isinstance(b.get("image_url"), dict):
-                b["image_url"].setdefault("detail", "auto")
-    return None
+                b["image_url"]["detail"] = c.image_detail
+                marked += 1
+            elif isinstance(b, dict) and b.get("type") == "input_image":
+                b["detail"] = c.image_detail
+                marked += 1
+    return f"{marked} images" if marked else None
 
 
 def stage_hygiene(r: Request, c: Config) -> str | None:
@@ -206,7 +250,7 @@ def stage_hygiene(r: Request, c: Config) -> str | None:
 
 
 def stage_crush(r: Request, c: Config) -> str | None:
-    query = {w for s in r.segments() if len(lines(s.text)) < 4 and len(s.text) < 600 for w in words(s.text)}
+    query = {w for s in r.segments() if len(s.text) < 600 and len(lines(s.text)) < 4 for w in r.words(s.text)}
     sizes = []
     for s in r.segments():
         v = J.parsed(s.text)
@@ -224,7 +268,7 @@ def stage_serialize(r: Request, c: Config) -> str | None:
     for s in r.segments():
         v = J.parsed(s.text)
         out = J.encode(v, c.serialize_min_rows, c.serialize_flatten, c.serialize_csv, c.serialize_buckets, c.serialize_nested) if v is not None else None
-        if out and estimate(out[0]) < estimate(s.text):
+        if out and r.count(out[0]) < r.count(s.text):
             r.set(s, out[0])
             routes.append(out[1])
     if routes:
@@ -372,32 +416,43 @@ def run(r: Request, c: Config) -> list[tuple]:
     for name, setting, gate, stage in STAGES:
         if not any(getattr(c, s) for s in setting.split()):
             continue
-        kept = copy.deepcopy(r.body)
+        kept = clone(r.body)
         note = None
         context = lambda: "\n".join(s.text for s in r.segments(True) if s.role != "user" or len(s.text) >= 600)
         query = r.question() if gate == "quality" else []
         source = context() if query else ""
         try:
             note = stage(r, c)
-            after = r.tokens()
+            if gate == "always" or r.body != kept:
+                r.changed()
+                after = r.tokens()
+            else:
+                after = now
             applied = gate == "always" or after < now
             if applied and query and coverage(source, context(), query) < COVERAGE:
                 applied, note = False, "coverage"
         except (ValueError, KeyError, TypeError, AttributeError, IndexError, RecursionError) as e:
             applied, after, note = False, now, f"error: {type(e).__name__}"
         if not applied:
-            r.body, after = kept, now
+            r.changed(kept)
+            after = now
         report.append((name, applied, now, after, note))
         now = after
     return report
 
 
-def compress_body(text: str, name: str = "auto", config: Config | None = None) -> dict:
-    """One request: provider, preset, tokens before and after, new body, stage reports."""
+def compress_body(text: str, name: str = "auto", config: Config | None = None, provider: str | None = None) -> dict:
+    """One request: provider, preset, tokens before and after, new body, stage reports.
+
+    `provider` names the wire format where the body itself may not tell; without it such a body is refused.
+    """
     body = J.parsed(text or "")
     if not isinstance(body, dict):
         raise ValueError("the request is not a JSON object")
-    r = Request(body, R.detect(body) or "openai")
+    kind = provider or R.detect(body)
+    if kind is None:
+        raise ValueError("the wire format can't be told from the body; name the provider")
+    r = Request(body, kind)
     c = config or preset_of(name)
     if c.auto:
         name = route(r)
@@ -405,13 +460,17 @@ def compress_body(text: str, name: str = "auto", config: Config | None = None) -
     before = r.tokens()
     stages = run(r, c)
     after = r.tokens()
-    if after >= before and not any(s[0] in ("output", "cache") and s[1] for s in stages):
+    if after >= before and not any(s[1] and (s[0] in ("output", "cache") or s[0] == "image" and s[4]) for s in stages):
         return {"provider": r.provider, "preset": name, "before": before, "after": before, "body": text, "stages": stages}
     return {"provider": r.provider, "preset": name, "before": before, "after": after, "body": J.dumps(r.body), "stages": stages}
 
 
-def compress(requests: DataFrame, preset: str = "auto", config: Config | None = None) -> DataFrame:
-    """Compressed requests (request_id, body); bodies that can't be read come back unchanged."""
+def compress(requests: DataFrame, preset: str = "auto", config: Config | None = None, provider: str | None = None) -> DataFrame:
+    """Compressed requests (request_id, body).
+
+    Bodies that can't be read, or whose wire format neither they nor `provider` tell, come
+    back unchanged, with a null provider and no stages.
+    """
     if config is None and preset.lower() not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}")
 
@@ -420,7 +479,7 @@ def compress(requests: DataFrame, preset: str = "auto", config: Config | None =
             rows = []
             for rid, text in zip(batch.request_id, batch.body):
                 try:
-                    d = compress_body(text, preset, config)
+                    d = compress_body(text, preset, config, provider)
                     stages = [dict(zip(("stage", "applied", "tokens_before", "tokens_after", "note"), s)) for s in d["stages"]]
                     rows.append((rid, d["provider"], d["preset"], d["before"], d["after"], d["body"], stages))
                 except ValueError:
@@ -434,7 +493,7 @@ def compress(requests: DataFrame, preset: str = "auto", config: Config | None =
 def compress_text(texts: DataFrame, preset: str = "safe") -> DataFrame:
     """Plain texts (id, text) as one-message requests; returns id, text, tokens before and after."""
     body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages")))
-    out = compress(texts.select(F.col("id").alias("request_id"), body.alias("body")), preset)
+    out = compress(texts.select(F.col("id").alias("request_id"), body.alias("body")), preset, provider="openai")
     content = F.from_json("body", "messages array<struct<role:string,content:string>>")["messages"]
     return out.select(F.col("request_id").alias("id"), F.element_at(content, -1)["content"].alias("text"), "tokens_before", "tokens_after")
 

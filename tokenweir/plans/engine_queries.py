@@ -52,7 +52,7 @@ def _arrays(s, d):
 
 
 def _compressed(preset):
-    return lambda s, d: C.compress(_requests(s, d), preset).select("request_id", "provider", "preset", "tokens_before", "tokens_after", F.size("stages").alias("stages"))
+    return lambda s, d: C.compress(_requests(s, d), preset, provider="openai").select("request_id", "provider", "preset", "tokens_before", "tokens_after", F.size("stages").alias("stages"))
 
 
 def _encoded(text: str) -> str:
@@ -189,7 +189,7 @@ QUERIES = {
     "compress_safe": _compressed("safe"),
     "compress_auto": _compressed("auto"),
     "compress_aggressive": _compressed("aggressive"),
-    "stage_report": lambda s, d: C.stage_report(C.compress(_requests(s, d), "auto")),
+    "stage_report": lambda s, d: C.stage_report(C.compress(_requests(s, d), "auto", provider="openai")),
     "toon_encode": lambda s, d: _arrays(s, d).select("arr", per_text(_encoded)("text").alias("table")),
     "csv_union": lambda s, d: _arrays(s, d).select("arr", per_text(lambda t: J.to_csv(J.parsed(t)))("text").alias("table")),
     "json_crush": lambda s, d: _arrays(s, d).select("arr", per_text(_crushed)("text").alias("sample")),
@@ -215,7 +215,7 @@ QUERIES = {
     "frontier": lambda s, d: _rounded(E.frontier(_outcomes(s, d), "provider"), "q_before", "q_after", "retention", "saved_pct"),
     "mean_ci": lambda s, d: _rounded(E.mean_ci(_li(s, d), "l_returnflag", "l_quantity"), "mean", "half_width"),
     "percentiles": lambda s, d: _rounded(E.percentiles(_li(s, d), "l_returnflag", "l_extendedprice"), "p50", "p95"),
-    "bootstrap_ci": lambda s, d: E.bootstrap(_li(s, d), "l_returnflag", "l_quantity"),
+    "bootstrap_ci": lambda s, d: E.bootstrap(_li(s, d), "l_returnflag", "l_quantity", ["l_orderkey", "l_linenumber"], draws=1000),
     "cached_cost": lambda s, d: _rounded(frame(s, d, "turns").select("id", E.cached_cost(F.col("fresh_input"), F.col("cache_read"), F.col("output_tok"), 3.0, 0.3, 15.0).alias("usd")), "usd"),
     "residual_report": lambda s, d: _rounded(E.residual(_captures(s, d)), "share_pct", "compressed_pct"),
     "prefix_stability": _stability,

@@ -170,8 +170,8 @@ FROM g ORDER BY events DESC, provider, model NULLS FIRST LIMIT 8""",
     "cost_estimate": _COMP + _PRICE + f""", m AS ({_BM} GROUP BY provider, model),
 j AS (SELECT m.*, coalesce(pr.input_rate, al.r) AS rate, CASE provider WHEN 'anthropic' THEN 0.1 WHEN 'openai' THEN 0.5 ELSE 0.25 END AS rd,
   least(greatest(CAST(input_before - input_after AS DOUBLE) / input_before, 0.0), 0.95) AS p FROM m LEFT JOIN pr ON m.model = pr.id LEFT JOIN al ON m.model = al.a)
-SELECT round(sum((input_before - input_after) * rate / 1e6), 6) AS saved_usd, round(sum(input_after * rate / 1e6), 6) AS spend_usd,
-  round(sum((fresh + cache_read * rd) * rate / 1e6), 6) AS net_spend_usd, round(sum((fresh + cache_read * rd) * rate / 1e6 * p / (1 - p)), 6) AS net_saved_usd FROM j WHERE rate IS NOT NULL""",
+SELECT round(CAST(sum(CAST((input_before - input_after) * rate / 1e6 AS DECIMAL(30,12))) AS DOUBLE), 6) AS saved_usd, round(CAST(sum(CAST(input_after * rate / 1e6 AS DECIMAL(30,12))) AS DOUBLE), 6) AS spend_usd,
+  round(CAST(sum(CAST((fresh + cache_read * rd) * rate / 1e6 AS DECIMAL(30,12))) AS DOUBLE), 6) AS net_spend_usd, round(CAST(sum(CAST((fresh + cache_read * rd) * rate / 1e6 * p / (1 - p) AS DECIMAL(30,12))) AS DOUBLE), 6) AS net_saved_usd FROM j WHERE rate IS NOT NULL""",
     "resolve_prices": _COMP + _PRICE + "SELECT c.id, c.model, CAST(coalesce(pr.input_rate, al.r) AS DOUBLE) AS input_rate FROM compressions c LEFT JOIN pr ON c.model = pr.id LEFT JOIN al ON c.model = al.a",
 }
 ORACLES["session_aggregates"] = _TURNS + f""", r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS nr FROM turns WHERE agent = 'codex' AND project IS NULL)

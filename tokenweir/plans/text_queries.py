@@ -43,6 +43,11 @@ def _bm25(spark, d):
     return R.bm25(ls, "doc_id", "pos", query)
 
 
+def _line_scores(spark, d):
+    one = R.bm25_lines(_docs(spark, d), "doc_id").select("doc_id", F.explode("chunks").alias("c"))
+    return one.select("doc_id", F.col("c.pos").alias("pos"), F.round("c.score", 9).alias("score"))
+
+
 def _tools(spark, d):
     p = _table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("tool"), F.col("p_name").alias("name"), F.col("p_type").alias("params"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
@@ -88,8 +93,9 @@ QUERIES = {
     "answer_normal": lambda s, d: _docs(s, d).select("doc_id", X.answer_normal(F.col("text")).alias("answer")),
     "generated_kind": lambda s, d: _docs(s, d).select("doc_id", X.generated_kind(F.regexp_replace("text", r"\s", "")).alias("kind")),
     "significant": lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.significant(F.col("l_extendedprice")), 6).alias("v")),
-    "bm25_rank": lambda s, d: R.ranked(_bm25(s, d).withColumn("score", F.round("score", 9)), "doc_id", "pos", 5).select("doc_id", "pos", "score", "rank"),
-    "feedback_terms": lambda s, d: R.feedback_terms(_chunks(s, d)[0], _bm25(s, d).withColumn("score", F.round("score", 9)), "doc_id", "pos").select("doc_id", "term", "rank"),
+    "bm25_rank": lambda s, d: R.best_lines(R.bm25_lines(_docs(s, d), "doc_id"), "doc_id", 5),
+    "bm25_chunks": lambda s, d: R.ranked(_bm25(s, d).withColumn("score", F.round("score", 9)), "doc_id", "pos", 5).select("doc_id", "pos", "score", "rank"),
+    "feedback_terms": lambda s, d: R.feedback_terms(_chunks(s, d)[0], _line_scores(s, d), "doc_id", "pos").select("doc_id", "term", "rank"),
     "bm25f_tools": lambda s, d: R.bm25f(_tools(s, d), ["promo", "steel", "brand", "part", "12"]).withColumn("score", F.round("score", 9)),
     "coverage": _coverage,
     "bigram_curve": lambda s, d: R.bigram_curve(_log(s, d).withColumnRenamed("line", "text"), "seg", "pos"),
@@ -148,8 +154,11 @@ fi AS (SELECT seg, p, min(pos) AS pos FROM pr GROUP BY seg, p),
 nw AS (SELECT seg, pos, count(*) AS new FROM fi GROUP BY seg, pos),
 cu AS (SELECT wl.seg, wl.pos, CAST(sum(coalesce(new, 0)) OVER (PARTITION BY wl.seg ORDER BY wl.pos) AS BIGINT) AS seen FROM wl LEFT JOIN nw ON wl.seg = nw.seg AND wl.pos = nw.pos)
 """
-_CHAIN = f"""WITH {_SEGS},
-ch AS (SELECT request_id, seg_ix, sha256(string_agg(sha256(role || chr(1) || text), ',') OVER (PARTITION BY request_id ORDER BY seg_ix)) AS prefix FROM sg)
+_CHAIN = f"""WITH RECURSIVE {_SEGS},
+tn AS (SELECT request_id, seg_ix, sha256(role || chr(1) || text) AS one, row_number() OVER (PARTITION BY request_id ORDER BY seg_ix) AS nr FROM sg),
+cr AS (SELECT request_id, seg_ix, nr, sha256(one) AS prefix FROM tn WHERE nr = 1
+  UNION ALL SELECT tn.request_id, tn.seg_ix, tn.nr, sha256(cr.prefix || tn.one) FROM cr JOIN tn ON tn.request_id = cr.request_id AND tn.nr = cr.nr + 1),
+ch AS (SELECT request_id, seg_ix, prefix FROM cr)
 """
 _TOOLF = f"""WITH tl AS (SELECT p_partkey AS tool, p_name AS name, p_type AS params, p_brand || ' ' || p_type AS description FROM part),
 fd AS (SELECT tool, 'name' AS f, 4.0 AS w, {_words("replace(name, '_', ' ')")} AS ws FROM tl UNION ALL SELECT tool, 'params', 2.0, {_words("replace(params, '_', ' ')")} FROM tl
@@ -211,6 +220,7 @@ SELECT request_id, seg_ix AS q_ix, CASE WHEN length(text) < 600 THEN coalesce(ar
     "significant": """SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice = 0 OR l_extendedprice = floor(l_extendedprice) THEN l_extendedprice
   ELSE round(l_extendedprice * pow(10.0, 3 - floor(log10(abs(l_extendedprice))))) / pow(10.0, 3 - floor(log10(abs(l_extendedprice)))) END, 6) AS v FROM lineitem""",
     "bm25_rank": _CHUNKS + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM bm) SELECT doc_id, pos, score, rank FROM r WHERE rank <= 5",
+    "bm25_chunks": _CHUNKS + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM bm) SELECT doc_id, pos, score, rank FROM r WHERE rank <= 5",
     "feedback_terms": _CHUNKS + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM bm WHERE score > 0),
 b AS (SELECT doc_id, pos, score / sum(score) OVER (PARTITION BY doc_id) AS share FROM r WHERE rank <= 4),
 w AS (SELECT tf.doc_id, tf.term, round(sum(share * tf / dl), 12) AS weight FROM tf JOIN b ON tf.doc_id = b.doc_id AND tf.pos = b.pos GROUP BY tf.doc_id, tf.term),

@@ -313,10 +313,16 @@ def attribute_blocks(requests: DataFrame) -> DataFrame:
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
-    """A request body per conversation, its turns as messages."""
+    """A request body per conversation, its turns as messages.
+
+    The turns are dealt out to an explicit number of partitions, the session's: what follows
+    is heavy per request, and adaptive execution would join partitions that are small in bytes.
+    """
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conversations = conversations.select(F.col("conv_id").alias("request_id"), "turn", "role", "text").repartition(parts, "request_id")
     turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
     messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return conversations.groupBy(F.col("conv_id").alias("request_id")).agg(F.to_json(F.struct(F.lit("m1").alias("model"), messages.alias("messages"))).alias("body"))
+    return conversations.groupBy("request_id").agg(F.to_json(F.struct(F.lit("m1").alias("model"), messages.alias("messages"))).alias("body"))
 
 
 def parse_body(text: str):
