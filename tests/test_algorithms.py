@@ -226,3 +226,13 @@ def test_settings():
     with pytest.raises(KeyError):
         preset("nope")
     assert "no_dedup" in ablations(Config())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.integers(0, 70), st.randoms())
+def test_bands_find_the_first_near_fingerprint(base, distance, r):
+    prints = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 30))) for b in base for _ in range(4)]
+    held = folding.Alike(distance)
+    for i, h in enumerate(prints):
+        assert held.first(h) == next((k for k, p in enumerate(prints[:i]) if (p ^ h).bit_count() <= distance), None)
+        held.add(h, i)

@@ -35,13 +35,15 @@ def _blocks(ls: list[str]) -> list[str | None]:
 
 
 class Alike:
-    """Fingerprints by bands: of two that differ in `distance` bits at most, one of distance + 1 bands is equal."""
+    """Fingerprints by bands: of two that differ in `distance` bits at most, one of distance + 1 or more bands is equal."""
 
     def __init__(self, distance: int):
-        self.distance, self.width = distance, -(-64 // (distance + 1))
+        self.distance, self.width = distance, 64 // (distance + 1)
         self.held: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def _bands(self, h: int):
+        if not self.width:
+            return ((0, 0),)
         return ((k, h >> k & (1 << self.width) - 1) for k in range(0, 64, self.width))
 
     def first(self, h: int) -> int | None:
