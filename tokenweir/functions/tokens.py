@@ -39,6 +39,12 @@ def bpe_counter(ranks_path: str, pattern: str | None = None):
     return count
 
 
+def byte_pairs(ranks_path: str, pattern: str | None = None):
+    """A plain function that counts the byte pairs of a text exactly."""
+    encoding = load_encoding(ranks_path, pattern)
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
 _ENCODINGS: dict = {}
 #: Splits words as byte-pair vocabularies expect: contractions, words, numbers, signs, blanks.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

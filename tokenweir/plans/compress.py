@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenweir.config import PRESETS, Config, preset as preset_of
 from tokenweir.functions import codetext, folding, jsontext as J, phrases, selecting
 from tokenweir.functions.lex import content_words, estimate, lines, words
+from tokenweir.functions.tokens import byte_pairs
 from tokenweir.sources import requests as R
 
 SCHEMA = (
@@ -45,8 +46,9 @@ class Request:
     most stages leave most texts as they are.
     """
 
-    def __init__(self, body: dict, provider: str):
+    def __init__(self, body: dict, provider: str, counter: Callable[[str], int] | None = None):
         self.body, self.provider = body, provider
+        self.counter = counter or estimate
         self.counts: dict[str, int] = {}
         self.split: dict[str, list[str]] = {}
         self._held: list[R.Segment] | None = None
@@ -73,7 +75,7 @@ class Request:
 
     def count(self, text: str) -> int:
         if text not in self.counts:
-            self.counts[text] = estimate(text)
+            self.counts[text] = self.counter(text)
         return self.counts[text]
 
     def tokens(self) -> int:
@@ -441,10 +443,11 @@ def run(r: Request, c: Config) -> list[tuple]:
     return report
 
 
-def compress_body(text: str, name: str = "auto", config: Config | None = None, provider: str | None = None) -> dict:
+def compress_body(text: str, name: str = "auto", config: Config | None = None, provider: str | None = None, counter=None) -> dict:
     """One request: provider, preset, tokens before and after, new body, stage reports.
 
     `provider` names the wire format where the body itself may not tell; without it such a body is refused.
+    `counter` counts the tokens of a text for the gates; by default they are estimated.
     """
     body = J.parsed(text or "")
     if not isinstance(body, dict):
@@ -452,7 +455,7 @@ def compress_body(text: str, name: str = "auto", config: Config | None = None, p
     kind = provider or R.detect(body)
     if kind is None:
         raise ValueError("the wire format can't be told from the body; name the provider")
-    r = Request(body, kind)
+    r = Request(body, kind, counter)
     c = config or preset_of(name)
     if c.auto:
         name = route(r)
@@ -465,25 +468,27 @@ def compress_body(text: str, name: str = "auto", config: Config | None = None, p
     return {"provider": r.provider, "preset": name, "before": before, "after": after, "body": J.dumps(r.body), "stages": stages}
 
 
-def compress(requests: DataFrame, preset: str = "auto", config: Config | None = None, provider: str | None = None) -> DataFrame:
+def compress(requests: DataFrame, preset: str = "auto", config: Config | None = None, provider: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """Compressed requests (request_id, body).
 
     Bodies that can't be read, or whose wire format neither they nor `provider` tell, come
-    back unchanged, with a null provider and no stages.
+    back unchanged, with a null provider and no stages. With `ranks_path`, a vocabulary file
+    that executors can open, the gates count exact byte pairs; else they estimate.
     """
     if config is None and preset.lower() not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = byte_pairs(ranks_path) if ranks_path else None
         for batch in batches:
             rows = []
             for rid, text in zip(batch.request_id, batch.body):
                 try:
-                    d = compress_body(text, preset, config, provider)
+                    d = compress_body(text, preset, config, provider, counter)
                     stages = [dict(zip(("stage", "applied", "tokens_before", "tokens_after", "note"), s)) for s in d["stages"]]
                     rows.append((rid, d["provider"], d["preset"], d["before"], d["after"], d["body"], stages))
                 except ValueError:
-                    n = estimate(text or "")
+                    n = (counter or estimate)(text or "")
                     rows.append((rid, None, preset, n, n, text, []))
             yield pd.DataFrame(rows, columns=["request_id", "provider", "preset", "tokens_before", "tokens_after", "body", "stages"])
 

@@ -148,6 +148,22 @@ def _rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _senders(s, d):
+    """Requests of three wire formats whose system texts name agents, directories, both or nothing."""
+    c = _table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_name").alias("n"), (F.col("c_custkey") % 4).alias("k"), (F.col("c_custkey") % 3).alias("f"))
+    who = F.when(F.col("k") == 0, F.lit("You are Codex at work.")).when(F.col("k") == 1, F.lit("You are Cline, not You are Codex.")).otherwise(F.lit("Just be brief."))
+    where = F.when(F.col("k") == 2, F.concat(F.lit("x\n  cwd: `/home/"), "n", F.lit("`  \nWorking directory: /late"))).otherwise(F.lit("cwd:  "))
+    text = F.concat(who, F.lit("\n"), where)
+    hello = F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content")))
+    system = F.array(F.struct(F.lit("system").alias("role"), text.alias("content")))
+    body = (
+        F.when(F.col("f") == 0, F.to_json(F.struct(text.alias("system"), hello.alias("messages"))))
+        .when(F.col("f") == 1, F.to_json(F.struct(F.concat(system, hello).alias("messages"))))
+        .otherwise(F.to_json(F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")).alias("systemInstruction"), F.array().cast("array<string>").alias("contents"))))
+    )
+    return c.select("request_id", body.alias("body"))
+
+
 def _usage(s, d):
     e = _table(s, d, "events").select("event_id", (F.col("event_id") % 3).alias("k"), (F.col("event_id") % 50).alias("a"), (F.col("event_id") % 20).alias("b"))
     a, b = F.col("a").cast("string"), F.col("b").cast("string")
@@ -220,6 +236,7 @@ QUERIES = {
     "residual_report": lambda s, d: _rounded(E.residual(_captures(s, d)), "share_pct", "compressed_pct"),
     "prefix_stability": _stability,
     "usage_extract": _usage,
+    "request_identity": lambda s, d: R.identities(_senders(s, d)).select("request_id", "agent", "project", "session_id"),
     "model_facts": _facts,
     "image_target": _images,
     "idle_gaps": _idle,
@@ -277,9 +294,19 @@ g AS (SELECT kind, tool, CAST(sum(a) AS BIGINT) AS residual, CAST(sum(b) AS BIGI
 SELECT *, round(residual * 100.0 / sum(residual) OVER (), 6) AS share_pct, round((before - residual) * 100.0 / before, 6) AS compressed_pct FROM g""",
     "usage_extract": """WITH e AS (SELECT event_id, event_id % 3 AS k, event_id % 50 AS a, event_id % 20 AS b FROM events)
 SELECT event_id, CASE WHEN k = 0 THEN a ELSE greatest(a - b, 0) END AS fresh_input, b AS cache_read, 0 AS cache_write, CASE k WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 0 END AS output FROM e""",
+    "request_identity": r"""WITH RECURSIVE t AS (SELECT c_custkey AS request_id, c_custkey % 4 AS k, (CASE c_custkey % 4 WHEN 0 THEN 'You are Codex at work.' WHEN 1 THEN 'You are Cline, not You are Codex.' ELSE 'Just be brief.' END
+    || chr(10) || CASE WHEN c_custkey % 4 = 2 THEN 'x' || chr(10) || '  cwd: `/home/' || c_name || '`  ' || chr(10) || 'Working directory: /late' ELSE 'cwd:  ' END || chr(10)) AS s, c_name FROM customer),
+u AS (SELECT DISTINCT s FROM t),
+h AS (SELECT s, 0 AS i, 14695981039346656037::HUGEINT AS v FROM u UNION ALL
+  SELECT s, i + 1, (xor(v, ascii(substr(s, i + 1, 1))::HUGEINT) * 435 + (xor(v, ascii(substr(s, i + 1, 1))::HUGEINT) % 16777216) * 1099511627776) % 18446744073709551616::HUGEINT FROM h WHERE i < length(s))
+SELECT request_id, CASE k WHEN 0 THEN 'codex' WHEN 1 THEN 'codex' END AS agent, CASE WHEN k = 2 THEN '/home/' || c_name END AS project, lpad(lower(to_base((v // 4294967296)::BIGINT, 16)), 8, '0') || lpad(lower(to_base((v % 4294967296)::BIGINT, 16)), 8, '0') AS session_id
+FROM t JOIN (SELECT s, v::HUGEINT AS v FROM h WHERE i = length(s)) h ON h.s = t.s""",
     "model_facts": cte("compressions") + """SELECT id AS row_id, 'Acme/' || upper(model) AS model, CAST(CASE model WHEN 'm0' THEN 1000 WHEN 'm2' THEN 4000 END AS BIGINT) AS context,
   CASE model WHEN 'm1' THEN 9.0 WHEN 'm2' THEN 5.0 END AS rating, coalesce(model = 'm1', FALSE) AS reasoning FROM compressions""",
     "image_target": _image_sql(),
+    "prefix_stability": """WITH b AS (SELECT conv_id, turn, role || ':' || coalesce(text, '') AS body FROM conversations),
+p AS (SELECT *, lag(body) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM b)
+SELECT conv_id, turn, length(body) AS chars, CAST(CASE WHEN prev IS NULL THEN 0 ELSE list_max(list_filter(range(0, least(length(body), length(prev)) + 1), lambda i: left(body, i) = left(prev, i))) END AS BIGINT) AS shared FROM p""",
     "idle_gaps": cte("turns") + """, t AS (SELECT agent AS session, ts, max(fresh_input + cache_read) AS tokens FROM turns GROUP BY agent, ts),
 g AS (SELECT *, date_diff('second', CAST(lag(ts) OVER (PARTITION BY session ORDER BY ts) AS TIMESTAMP), CAST(ts AS TIMESTAMP)) AS gap FROM t) SELECT * FROM g WHERE gap > 300 AND tokens >= 400""",
     "windowed_usage": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",

@@ -226,6 +226,13 @@ b AS (SELECT doc_id, pos, score / sum(score) OVER (PARTITION BY doc_id) AS share
 w AS (SELECT tf.doc_id, tf.term, round(sum(share * tf / dl), 12) AS weight FROM tf JOIN b ON tf.doc_id = b.doc_id AND tf.pos = b.pos GROUP BY tf.doc_id, tf.term),
 k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM w) SELECT * FROM k WHERE rank <= 10""",
     "bm25f_tools": _TOOLF,
+    "coverage": f"""WITH {_SEGS}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seg_ix DESC) AS nr FROM sg WHERE role = 'user'),
+q AS (SELECT request_id, seg_ix AS q_ix, CASE WHEN length(text) < 600 THEN list_distinct({_words('text')}) ELSE [] END AS q FROM r WHERE nr = 1),
+w AS (SELECT sg.request_id, seg_ix, q, {_words('text')} AS s, {_words("string_split(text, chr(10))[1]")} AS k FROM sg JOIN q ON q.request_id = sg.request_id WHERE seg_ix <> q_ix AND role = 'assistant'),
+b AS (SELECT *, list_intersect(list_distinct(s), q) AS uni,
+  list_distinct(list_filter(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]), lambda x: list_contains(q, split_part(x, ' ', 1)) OR list_contains(q, split_part(x, ' ', 2)))) AS bi,
+  list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) AS kb FROM w)
+SELECT request_id, seg_ix, round(CASE WHEN len(uni) + len(bi) > 0 THEN (len(list_intersect(uni, k)) + len(list_intersect(bi, kb))) * 1.0 / (len(uni) + len(bi)) ELSE 1.0 END, 9) AS coverage FROM b""",
     "bigram_curve": _CURVE + "SELECT * FROM cu",
     "knee": _CURVE + """, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n, max(seen) OVER (PARTITION BY seg) AS total FROM cu),
 b AS (SELECT seg, i, round(seen * 1.0 / total - i * 1.0 / (n - 1), 12) AS bow FROM i WHERE n >= 3 AND total > 0),

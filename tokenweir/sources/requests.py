@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tokenweir.functions import identity
 from tokenweir.functions.jsontext import dumps, loads, parsed
 from tokenweir.functions.lex import estimate
 
@@ -261,6 +262,43 @@ def attribute(body: dict, provider: str) -> list[tuple]:
     return out
 
 
+def system_text(body: dict, provider: str) -> str | None:
+    """All system texts of a request, a line break after each; null if it has none.
+
+    A field of its own (system, instructions, system instruction) goes before messages.
+    """
+    names = {"anthropic": ["system"], "google": ["systemInstruction", "system_instruction"]}.get(provider, ["instructions"])
+    field = next((body[n] for n in names if n in body), None)
+    if field is not None:
+        return flat_text(field.get("parts", field) if isinstance(field, dict) else field)
+    rows = body.get("messages") or body.get("input")
+    said = [m for m in (rows if isinstance(rows, list) else []) if isinstance(m, dict) and m.get("role") in ("system", "developer") and m.get("type") in (None, "message")]
+    return "".join(flat_text(m.get("content", m)) for m in said) or None
+
+
+def flat_text(v) -> str:
+    """Strings and the `text` of blocks, a line break after each."""
+    parts = v if isinstance(v, list) else [v]
+    texts = (p.get("text") if isinstance(p, dict) else p for p in parts)
+    return "".join(t + "\n" for t in texts if type(t) is str)
+
+
+def identities(requests: DataFrame) -> DataFrame:
+    """request_id, session_id, agent, project of requests (request_id, body), from their system texts.
+
+    Nulls where a body can't be read or has no system text.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = [parsed(t or "") for t in batch.body]
+            yield pd.DataFrame({"request_id": batch.request_id, "system": [system_text(b, detect(b) or "openai") if isinstance(b, dict) else None for b in bodies]})
+
+    said = requests.select("request_id", "body").mapInPandas(work, "request_id long, system string")
+    s = F.col("system")
+    return said.select("request_id", identity.fnv1a_hex(s).alias("session_id"), identity.agent(s).alias("agent"), identity.directory(s).alias("project"))
+
+
 def extract_segments(requests: DataFrame) -> DataFrame:
     """Segments of requests (request_id, body); bodies that can't be read give none."""
 
