@@ -107,8 +107,8 @@ def bm25f(tools: DataFrame, query: list[str], weights={"name": 4.0, "params": 2.
 
 def bigram_curve(items: DataFrame, group: str, pos: str) -> DataFrame:
     """Per item, how many distinct word pairs its group has shown up to it."""
-    ws = X.words(F.col("text"))
-    pairs = F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.concat(ws[i - 1], F.lit(" "), ws[i]))).otherwise(ws)
+    near = lambda ws: F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.concat(ws[i - 1], F.lit(" "), ws[i]))).otherwise(ws)
+    pairs = X.let(X.words(F.col("text")), near)
     first = items.select(group, pos, F.explode(pairs).alias("p")).groupBy(group, "p").agg(F.min(pos).alias(pos))
     new = items.select(group, pos).join(first.groupBy(group, pos).agg(F.count("*").alias("new")), [group, pos], "left")
     w = W.partitionBy(group).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)

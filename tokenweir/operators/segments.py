@@ -201,15 +201,19 @@ def bigrams(ws: Column) -> Column:
 
 def coverage(source: Column, kept: Column, query: Column) -> Column:
     """Share of the source's query words and the word pairs around them that are kept; 1 if there are none."""
-    near = lambda ws: F.array_distinct(
-        F.filter(bigrams(ws), lambda b: F.array_contains(query, F.substring_index(b, " ", 1)) | F.array_contains(query, F.substring_index(b, " ", -1)))
+    none = F.array().cast("array<string>")
+    asked = lambda q, b: F.array_contains(q, F.substring_index(b, " ", 1)) | F.array_contains(q, F.substring_index(b, " ", -1))
+    near = lambda s, q: F.when(F.size(s) > 1, F.array_distinct(F.filter(bigrams(s), lambda b: asked(q, b)))).otherwise(none)
+
+    def share(w: Column) -> Column:
+        total = F.size(w["uni"]) + F.size(w["bi"])
+        hit = F.size(F.array_intersect(w["uni"], w["k"])) + F.size(F.array_intersect(w["bi"], bigrams(w["k"])))
+        return F.when(total > 0, hit / total).otherwise(F.lit(1.0))
+
+    found = lambda w: F.struct(
+        F.array_intersect(F.array_distinct(w["s"]), w["q"]).alias("uni"), near(w["s"], w["q"]).alias("bi"), w["k"].alias("k")
     )
-    s, k = X.words(source), X.words(kept)
-    uni = F.array_intersect(F.array_distinct(s), query)
-    bi = F.when(F.size(s) > 1, near(s)).otherwise(F.array().cast("array<string>"))
-    total = F.size(uni) + F.size(bi)
-    hit = F.size(F.array_intersect(uni, k)) + F.size(F.array_intersect(bi, bigrams(k)))
-    return F.when(total > 0, hit / total).otherwise(F.lit(1.0))
+    return X.let(F.struct(X.words(source).alias("s"), X.words(kept).alias("k"), query.alias("q")), lambda w: X.let(found(w), share))
 
 
 def prefix_hash_chain(segments: DataFrame) -> DataFrame:
