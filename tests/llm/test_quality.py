@@ -79,10 +79,19 @@ def test_edges(spark):
 
 
 def test_sample_bounds(spark):
-    """Of 2,600 labelled rows and of 20 MB of texts none is left out."""
+    """Of 2,600 labelled rows and of 20 MB of texts none is left out; bytes are bounded while reading."""
     docs = spark.range(2600).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     labels = spark.range(2600).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
-    assert quality.labelled_sample(docs, labels, "quality", quality.SAMPLE_ROWS).count() == 2600
+    assert quality.labelled_sample(docs, labels, "quality", quality.SAMPLE_ROWS, quality.SAMPLE_BYTES).count() == 2600
     texts = [f"{i} " * 100_000 for i in range(10, 80)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(70)), pa.array([i % 2 for i in range(70)]), pa.array(texts)], names=["i", "y", "t"])
-    assert sum(map(len, texts)) > 20_000_000 and len(quality.read_sample(iter([batch]), quality.SAMPLE_BYTES)[0]) == 70
+    batch = lambda k: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([k % 2]), pa.array([texts[k]])], names=["i", "y", "t"])
+    assert sum(map(len, texts)) > 20_000_000 and len(quality.read_sample(map(batch, range(70)), quality.SAMPLE_BYTES)[0]) == 70
+    seen = []
+    assert len(quality.read_sample((seen.append(k) or batch(k) for k in range(70)), 1_000_000)[0]) == 3 and len(seen) == 4
+
+
+def test_sample_of_repeated_ids_and_very_long_texts(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "repeat(concat('t', id % 3, ' '), IF(id % 3 = 2, 400000, 20)) AS text")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1), (7, 1), (None, 1)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", 100, 1 << 20).collect()
+    assert sorted((r.doc_id, r["__label"]) for r in got) == [(0, 1), (1, 0)]

@@ -1,10 +1,11 @@
+import math
 import random
 
-import pyarrow as pa
+import numpy as np
+import pytest
 from helpers import edge_docs, empty_docs, words
 
 from tokenweir.llm import toxicity
-from tokenweir.llm.arrowtext import slices
 
 BAD = ["blorgish", "snarkvile", "grumthud"]
 
@@ -42,8 +43,62 @@ def test_edges(spark):
     assert toxicity.score_toxicity(docs, toxicity.train(docs, labels.limit(0))).count() == docs.count()
 
 
-def test_whole_long_text_counts(spark):
-    model = toxicity.fit([t.encode() for _, t, _ in corpus(600)], __import__("numpy").array([y for *_, y in corpus(600)]))
+def test_whole_long_text_counts():
+    rows = corpus(600)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
     long = words(20000, 99)
-    scores = [model.score(d, a)[0] for t in (long, long + " blorgish snarkvile") for _, _, d, a in slices(pa.array([t]))]
-    assert scores[0] < 0.5 < 0.7 <= scores[1]
+    plain, insult = model.score([long, long + " blorgish snarkvile grumthud"])
+    assert plain < 0.5 < 0.7 <= insult
+
+
+def test_thirty_labelled_rows_separate(spark):
+    rows = [(i, words(12, i) + (" blorgish snarkvile" if i % 2 else ""), i % 2) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i].predicted == y for i, _, y in rows)
+
+
+def brute_slots(text):
+    x = [ord(c) for c in text.lower()]
+    out = set()
+    for n in toxicity.GRAMS:
+        for i in range(len(x) - n + 1):
+            h = x[i]
+            for c in x[i + 1 : i + n]:
+                h = (h * 16777619 + c) % 2**32
+            out.add((h + n) * 2654435761 % 2**32 >> 32 - toxicity.BITS)
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "abc", "Ärger über 日本語文字列 🙂🙂🙂🙂🙂🙂", "the the the the the", words(300, 8)])
+def test_features_against_brute_force(text):
+    got = toxicity.Presence().slots(text).tolist()
+    assert len(got) == len(set(got)) and set(got) == brute_slots(text)
+
+
+def test_ratios_and_scores_against_brute_force():
+    texts, y = [t for _, t, _ in corpus(60)] + [""], np.array([y for *_, y in corpus(60)] + [0])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    held = [brute_slots(t) for t in texts]
+    every = sorted(set().union(*held))
+    c1 = np.array([sum(s in h for h, k in zip(held, y) if k) for s in every])
+    c0 = np.array([sum(s in h for h, k in zip(held, y) if not k) for s in every])
+    got = toxicity.log_count_ratio(c1, c0, n1, n0)
+    share = n1 / (n1 + n0)
+    for a, b, r in zip(c1.tolist(), c0.tolist(), got.tolist()):
+        p, q = (a + share) / (n1 + share), (b + 1 - share) / (n0 + 1 - share)
+        both = (a + b) / (n1 + n0)
+        z2 = (a / n1 - b / n0) ** 2 / max(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12)
+        assert math.isclose(r, math.log(p / q) * z2 / (z2 + toxicity.DOUBT), rel_tol=1e-9, abs_tol=1e-12)
+    model = toxicity.fit(texts, y)
+    assert set(np.flatnonzero(model.coef).tolist()) <= set(every)
+    want = [1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(float(model.coef[s]) for s in h))))) for h in held]
+    assert np.allclose(model.score(texts), want, atol=1e-5)
+    assert all((p >= 0.5) == bool(k) for p, k in zip(want, y))
+
+
+def test_a_repeated_id_costs_one_row(spark):
+    docs = spark.range(5000).selectExpr("id % 5 AS doc_id", "concat('text ', id % 5, repeat(' x', 50)) AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, "toxic", 100, 1 << 20).count() == 5

@@ -6,10 +6,12 @@ bounded sample of labelled rows (SAMPLE_ROWS rows and SAMPLE_BYTES bytes of whol
 chosen by hash of doc_id), then calibrated by Platt scaling on the sample's last fifth.
 Scoring runs in Arrow batches over every whole text.
 
-Defined cases: null text has no words and fails the base rules; repeated rows are scored
-each; labels that are null are left out and of several labels of a doc_id the largest
-counts; without labels of both kinds the verdict is that of the base rules; other columns
-pass through `score_quality` untouched and result columns win over columns of their name.
+Defined cases: null text has no words and fails the base rules; a very long text is a slice
+of its own and counts whole; a probability of just KEEP_AT keeps; repeated rows are scored
+each; labels that are null are left out, of several labels of a doc_id the largest counts
+and of several texts of a labelled doc_id the smallest; without labels of both kinds the
+verdict is that of the base rules; an empty table gives no rows; other columns pass through
+`score_quality` untouched and result columns win over columns of their name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tokenweir.llm.arrowtext import SLICE_BYTES, gram_valid, is_space, segment_sum, slices, word_starts
-from tokenweir.llm.common import small_batches
 
 BITS = 16
 SCALE = 50.0
@@ -211,35 +212,46 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return (float(max(a, 1e-3)), float(b))
 
 
+#: A text longer than this share of the byte bound is not trained on, so that one text can't be the sample.
+LONGEST_SHARE = 16
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, keep=None
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int, keep=None
 ) -> DataFrame:
-    """At most `rows` labelled documents, by hash of doc_id: doc_id, label, text."""
+    """At most `rows` labelled documents, once per doc_id: doc_id, label, text, in one partition.
+
+    Rows come in the order of a hash of their doc_id. Of several texts of a doc_id the
+    smallest is taken before the rows meet, so that an id costs a row per task at most.
+    """
     picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         picked = picked.filter(keep(F.col("doc_id")))
     picked = picked.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "__label", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    given = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= max_bytes // LONGEST_SHARE)
+    once = given.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    return once.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
 
 def read_sample(batches: Iterator[pa.RecordBatch], max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts in the order of a hash of their id, until max_bytes; equal texts once."""
-    rows = []
-    for batch in batches:
-        rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    """Whole texts in the order given, up to the first that goes beyond max_bytes; equal texts once.
+
+    No more is held than these texts and one batch.
+    """
     texts, labels, seen, size = [], [], set(), 0
-    for _, y, text in rows:
-        text = text or b""
-        if text in seen:
-            continue
-        if size + len(text) > max_bytes and texts:
-            continue
-        seen.add(text)
-        size += len(text)
-        texts.append(text)
-        labels.append(1 if y else 0)
+    for batch in batches:
+        for y, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            text = text.as_py() or b""
+            if text in seen:
+                continue
+            size += len(text)
+            if size > max_bytes:
+                return texts, np.asarray(labels, dtype=np.int64)
+            seen.add(text)
+            texts.append(text)
+            labels.append(1 if y else 0)
     return texts, np.asarray(labels, dtype=np.int64)
 
 
@@ -257,9 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
                 names=["w", "bias", "a", "b"],
             )
 
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", sample_rows)
-    got = sample.repartition(1).mapInArrow(work, "w binary, bias double, a double, b double").collect()
+    sample = labelled_sample(docs, labels, "quality", sample_rows, sample_bytes)
+    got = sample.mapInArrow(work, "w binary, bias double, a double, b double").collect()
     if not got:
         return None
     w = np.frombuffer(bytes(got[0]["w"]), dtype=np.float32).reshape(2 + len(GRAMS), 1 << BITS)
@@ -274,7 +285,6 @@ def score_quality(docs: DataFrame, model: QualityModel | None, columns: list[str
     names = [f.strip().split()[0] for f in RESULT.split(",")]
     columns = [c for c in (columns or ["doc_id"]) if c not in names]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

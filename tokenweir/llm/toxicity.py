@@ -1,16 +1,21 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are presences of character n-grams (3 to 8 bytes of lower-cased UTF-8, kept as
-exact 64-bit numbers). Each is scaled by r = ln((p + s) / (q + s)), the smoothed ratio of
-its document shares in toxic and other texts; n-grams whose shares don't differ by MIN_Z
-standard errors count 0, so that long texts gather no noise. Logistic regression on the
-scaled features gives the score. Training uses a bounded sample of labelled rows
-(SAMPLE_ROWS, SAMPLE_BYTES of whole texts, equal texts once); scoring reads every whole
-text in Arrow batches.
-
-Defined cases: null text is empty and scores as a text without features; null labels are
-left out, of several labels of a doc_id the largest counts; without both kinds of label
-every score is the smoothed share of toxic labels; repeated rows are scored each.
+Features are presences of character n-grams (4 and 6 code points of the lower-cased text),
+hashed to 2**BITS slots; all n-grams count, rare ones too. Each is scaled by its log-count
+ratio r = ln(p / q), where p and q are its document shares in toxic and other texts, both
+smoothed as if SMOOTH more texts, with the usual share of toxic ones, held it, and shrunk
+by the evidence: little of it leaves r near 0, but no n-gram is dropped. Logistic regression
+on the scaled features, toxic texts weighing the root of what would balance both kinds,
+gives the score. Training uses a bounded sample of labelled rows (SAMPLE_ROWS,
+SAMPLE_BYTES of whole texts, equal texts once); scoring reads every whole text in Arrow
+batches.
+
+Defined cases: null text is empty and scores as a text without features; a very long text
+is a slice of its own and counts whole; a score of just PREDICT_AT predicts 1; null labels
+are left out, of several labels of a doc_id the largest counts, of several texts of a
+labelled doc_id the smallest; without both kinds of label every score is the smoothed share
+of toxic labels; repeated rows are scored each; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,18 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tokenweir.llm.arrowtext import gram_valid, slices
-from tokenweir.llm.common import small_batches
+from tokenweir.llm.arrowtext import slices
 from tokenweir.llm.quality import labelled_sample, read_sample
 
-GRAMS = (3, 4, 5, 6, 7, 8)
+GRAMS = (4, 6)
 BITS = 22
-MIN_Z = 5.0
-MAX_FEATURES = 1 << 14
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 1 << 25
 PREDICT_AT = 0.7
 SMOOTH = 1.0
+DOUBT = 50.0
+#: Passes over the sample, at least and at most, and the (text, slot) pairs that they visit in all.
+STEPS, VISITS = (80, 1000), 2_000_000_000
+PENALTY = 1e-4
+#: Texts, or slots, whose pairs are gathered at once while fitting.
+CHUNK_TEXTS, CHUNK_SLOTS = 256, 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,147 +49,134 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
 
 
-def _lower(data: np.ndarray) -> np.ndarray:
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    return out
-
-
-def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, exact 64-bit n-grams) per n; under 8 bytes, the top byte holds the length."""
-    x = _lower(data).astype(np.uint64)
-    h = x.copy()
+def gram_slots(text: str) -> np.ndarray:
+    """The slots of all character n-grams of a text, repeats included."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+    h, out = x, []
     for n in range(2, max(GRAMS) + 1):
-        if len(h) < 2:
-            return
-        h = (h[:-1] << np.uint64(8)) | x[n - 1 :]
+        if len(x) < n:
+            break
+        h = h[:-1] * np.uint32(16777619) + x[n - 1 :]
         if n in GRAMS:
-            ok = np.flatnonzero(gram_valid(len(data), at, n)[: len(h)])
-            yield ok, h[ok] | np.uint64((n << 56) if n < 8 else 0)
+            out.append(((h + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BITS))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+class Presence:
+    """Each slot of a text once; the scratch table is kept between texts."""
 
+    def __init__(self):
+        self.mark = np.zeros(1 << BITS, np.int32)
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+    def slots(self, text: str) -> np.ndarray:
+        all_ = gram_slots(text)
+        at = np.arange(len(all_), dtype=np.int32)
+        self.mark[all_] = at  # of equal slots one position stays
+        return all_[self.mark[all_] == at]
 
 
 class ToxicModel:
-    """keys (sorted n-grams), coef (log-count ratio times weight), bias."""
-
-    def __init__(self, keys: np.ndarray, coef: np.ndarray, bias: float):
-        self.keys, self.coef, self.bias = keys, coef, bias
-        self._mask: np.ndarray | None = None
-
-    def __getstate__(self):
-        return {"keys": self.keys, "coef": self.coef, "bias": self.bias, "_mask": None}
-
-    def present(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, feature) pairs, each once."""
-        if self._mask is None:
-            self._mask = np.zeros(1 << BITS, dtype=bool)
-            self._mask[_slot(self.keys)] = True
-        found = []
-        if len(self.keys):
-            for pos, h in grams(data, at):
-                maybe = np.flatnonzero(self._mask[_slot(h)])
-                k = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-                real = self.keys[k] == h[maybe]
-                doc = np.searchsorted(at, pos[maybe[real]], side="right") - 1
-                found.append(doc * len(self.keys) + k[real])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pairs // max(1, len(self.keys)), pairs % max(1, len(self.keys))
-
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        doc, k = self.present(data, at)
-        z = self.bias + np.bincount(doc, weights=self.coef[k], minlength=len(at) - 1)
+    """coef (log-count ratio times weight) per slot, and bias."""
+
+    def __init__(self, coef: np.ndarray, bias: float):
+        self.coef, self.bias = coef, bias
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        one = Presence()
+        z = np.array([self.coef[one.slots(t)].sum(dtype=np.float64) for t in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _z(a, b, na, nb):
-    p = (a + b) / (na + nb)
-    return (a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / na + 1 / nb))
+def log_count_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """ln of the smoothed share among n1 texts over that among n0, shrunk towards 0 by the evidence.
 
+    From document counts; z is the two-proportion statistic, z2 / (z2 + DOUBT) the shrinkage.
+    """
+    p1, p0 = SMOOTH * n1 / (n1 + n0), SMOOTH * n0 / (n1 + n0)
+    ratio = np.log((c1 + p1) / (n1 + p1)) - np.log((c0 + p0) / (n0 + p0))
+    p = (c1 + c0) / (n1 + n0)
+    z2 = (c1 / n1 - c0 / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
+    return ratio * z2 / (z2 + DOUBT)
 
-def fit(texts: list[bytes], y: np.ndarray, steps: int = 300) -> ToxicModel:
+
+def fit(texts: list[str], y: np.ndarray, rate: float = 0.1, penalty: float = PENALTY) -> ToxicModel:
+    """Adam on the penalised logistic loss; a small sample gets more passes."""
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    col = pa.array(texts, type=pa.binary())
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    for i, _, data, at in slices(col, 1 << 18):  # first pass: document counts per slot
-        for pos, h in grams(data, at):
-            doc = np.searchsorted(at, pos, side="right") - 1
-            u = np.unique((doc << BITS) | _slot(h))
-            for label in (0, 1):
-                np.add.at(counts[label], u[y[i + (u >> BITS)] == label] & ((1 << BITS) - 1), 1)
-    hot = np.abs(_z(counts[1], counts[0], n1, n0)) >= MIN_Z
-    keys, docs = [], []
-    for i, _, data, at in slices(col, 1 << 18):  # second pass: exact n-grams in those slots
-        for pos, h in grams(data, at):
-            some = hot[_slot(h)]
-            k, d = h[some], np.searchsorted(at, pos[some], side="right") - 1 + i
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            keys.append(k[new])
-            docs.append(d[new])
-    keys, docs = np.concatenate(keys), np.concatenate(docs)
-    u, inv = np.unique(keys, return_inverse=True)
-    c1 = np.bincount(inv, weights=y[docs] == 1, minlength=len(u))
-    c0 = np.bincount(inv, weights=y[docs] == 0, minlength=len(u))
-    z = np.abs(_z(c1, c0, n1, n0))
-    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[z[best] >= MIN_Z])
-    place = np.full(len(u), -1)
-    place[best] = np.arange(len(best))
-    use = place[inv] >= 0
-    rows, feats = docs[use], place[inv[use]]
-    r = np.log((c1[best] + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((c0[best] + SMOOTH) / (n0 + 2 * SMOOTH))
-    w, b = np.zeros(len(best)), float(np.log(share / (1 - share)))
+        return ToxicModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    one, n, n1 = Presence(), len(y), int(y.sum())
+    slots = [one.slots(t) for t in texts]
+    size = np.array([len(x) for x in slots])
+    some = np.flatnonzero(size)
+    head = np.concatenate([[0], np.cumsum(size[some])])
+    slots = np.concatenate(slots)
+    by_slot = np.argsort(slots, kind="stable")
+    owner = np.repeat(some, size[some]).astype(np.int32)[by_slot]
+    used, start = np.unique(slots[by_slot], return_index=True)
+    del by_slot
+    start = np.append(start, len(owner))
+
+    def pulled(g: np.ndarray) -> np.ndarray:
+        """Per used slot, the sum of g over the texts that hold it."""
+        out = np.empty(len(used))
+        for k in range(0, len(used), CHUNK_SLOTS):
+            at = start[k : k + CHUNK_SLOTS + 1]
+            out[k : k + CHUNK_SLOTS] = np.add.reduceat(g[owner[at[0] : at[-1]]], at[:-1] - at[0])
+        return out
+
+    def margins(theta: np.ndarray) -> np.ndarray:
+        """Per text, the sum of theta over the slots that it holds."""
+        table, out = np.zeros(1 << BITS, np.float32), np.zeros(n)
+        table[used] = theta
+        for k in range(0, len(some), CHUNK_TEXTS):
+            at = head[k : k + CHUNK_TEXTS + 1]
+            out[some[k : k + CHUNK_TEXTS]] = np.add.reduceat(table[slots[at[0] : at[-1]]], at[:-1] - at[0], dtype=np.float64)
+        return out
+
+    c1 = pulled(y.astype(np.float64))
+    r = log_count_ratio(c1, np.diff(start) - c1, n1, n - n1)
+    w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        s = np.bincount(rows, weights=r[feats] * w[feats], minlength=len(y)) + b
-        g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        grad = np.bincount(feats, weights=r[feats] * g[rows], minlength=len(w)) + 1e-4 * w
+    weight = np.where(y == 1, np.sqrt((n - n1) / n1), 1.0)
+    weight /= weight.sum()
+    for t in range(1, min(max(VISITS // (2 * len(slots)), STEPS[0]), STEPS[1]) + 1):
+        g = (1 / (1 + np.exp(-np.clip(margins(r * w) + b, -30, 30))) - y) * weight
+        grad = r * pulled(g) + penalty * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
-        rate = 0.03 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w -= rate * m / (np.sqrt(v) + 1e-8)
-        b -= rate * mb / (np.sqrt(vb) + 1e-8)
-    return ToxicModel(u[best], r * w, float(b))
+        now = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        w -= now * m / (np.sqrt(v) + 1e-8)
+        b -= now * mb / (np.sqrt(vb) + 1e-8)
+    coef = np.zeros(1 << BITS, np.float32)
+    coef[used] = r * w
+    return ToxicModel(coef, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicModel:
-    """Fits in one task on the bounded sample of rows that are not held out."""
+    """Fits in one task on the bounded sample of rows that are not held out; 2**BITS numbers come back."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = read_sample(batches, sample_bytes)
-        model = fit(texts, y)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.coef.tobytes()], pa.binary()), pa.array([model.bias])],
-            names=["k", "c", "b"],
-        )
-
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, lambda i: ~held_out(i))
-    got = sample.repartition(1).mapInArrow(work, "k binary, c binary, b double").collect()
+        model = fit([t.decode("utf-8", "replace") for t in texts], y)
+        yield pa.RecordBatch.from_arrays([pa.array([model.coef.tobytes()], pa.binary()), pa.array([model.bias])], names=["c", "b"])
+
+    sample = labelled_sample(docs, labels, "toxic", sample_rows, sample_bytes, lambda i: ~held_out(i))
+    got = sample.mapInArrow(work, "c binary, b double").collect()
     if not got:
         return fit([], np.zeros(0, np.int64))
-    return ToxicModel(np.frombuffer(bytes(got[0]["k"]), np.uint64), np.frombuffer(bytes(got[0]["c"]), np.float64), got[0]["b"])
+    return ToxicModel(np.frombuffer(bytes(got[0]["c"]), np.float32), got[0]["b"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for i, j, data, at in slices(batch.column(2)):
-                p = model.score(data, at)
+                raw, ends = data.tobytes(), at.tolist()
+                p = model.score([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(p), pa.array((p >= PREDICT_AT).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"],
