@@ -12,8 +12,10 @@ a spanning forest, so a dense group costs no more than its members.
 
 Equal fingerprints are collapsed first (a partial aggregate), so thousands of copies are
 one fingerprint. Defined cases: null or wordless text has fingerprint zero and links like
-any other; null doc_ids and repeated rows get rows of their own, and a component is named
-by its smallest doc_id that is not null; other columns are ignored.
+any other; a very long text is read whole, in a slice of its own; a bit that is set in just
+half of the hashes is 0; null doc_ids and repeated rows get rows of their own, and a
+component is named by its smallest doc_id that is not null (null if it has none); an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tokenweir.llm.arrowtext import slices
-from tokenweir.llm.common import materialize, small_batches
+from tokenweir.llm.common import materialize
 from tokenweir.llm.components import components
 
 SHINGLE = 3
@@ -72,7 +74,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
 
 
@@ -172,6 +173,8 @@ def links(packed: DataFrame, parts: int) -> DataFrame:
 
 #: Fingerprints per part: about 560 variants each on average.
 PART_FINGERPRINTS = 4000
+#: Fingerprints whose balls a task makes; the number is given, so that adaptive execution doesn't join small tasks.
+BALL_FINGERPRINTS = 4096
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     n = distinct.count()
     parts = max(8, -(-n // PART_FINGERPRINTS))
-    found = links(balls(distinct.repartition("fp"), parts), parts)
+    found = links(balls(distinct.repartition(max(8, -(-n // BALL_FINGERPRINTS)), "fp"), parts), parts)
     return prints.join(named_components(distinct, components(found)), prints["fp"] == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
 
 
