@@ -129,10 +129,12 @@ def category(b: DataFrame) -> DataFrame:
     )
 
 
-def occupancy(blocks: DataFrame, turn_id: int) -> DataFrame:
+def occupancy(blocks: DataFrame, turn_id: int | None = None) -> DataFrame:
+    """Input tokens by category of each turn, or of the one asked for."""
+    mine = F.lit(True) if turn_id is None else F.col("turn_id") == turn_id
     return (
-        category(blocks).filter((F.col("turn_id") == turn_id) & (F.col("zone") == "input"))
-        .groupBy("section", "bucket", "group_label", "label").agg(_sum("raw_tokens").alias("raw_tokens"))
+        category(blocks).filter(mine & (F.col("zone") == "input"))
+        .groupBy("turn_id", "section", "bucket", "group_label", "label").agg(_sum("raw_tokens").alias("raw_tokens"))
     )
 
 

@@ -84,7 +84,7 @@ def _mmr(parts):
 
 
 def _phrases(text: str) -> str:
-    new, glossary = phrases.mine(text.split("\n\n"), 8)
+    new, glossary = phrases.mine(text.split("\n\n"), 32)
     assert phrases.restore(new, glossary) == text.split("\n\n")
     return ";".join(p for _, p in glossary)
 

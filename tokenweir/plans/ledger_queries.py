@@ -69,7 +69,7 @@ QUERIES = {
     "session_aggregates": _t(lambda t: L.session_aggregates(t, "codex", None)),
     "agent_trend": _t(lambda t: L.agent_trend(t, "codex", "day", 10)),
     "ledger_sessions": _t(L.sessions),
-    "occupancy": _t(lambda b: L.occupancy(b, 42), "blocks"),
+    "occupancy": _t(lambda b: L.occupancy(b), "blocks"),
     "prefix_tape": _t(lambda b, t: _rounded(L.prefix_tape(b, t), "fresh_tok", "cache_read_tok", "cache_write_tok", "output_tok_share"), "blocks", "turns"),
     "cost_by_source": _t(lambda b, t: _rounded(L.cost_by_source(b, t), "fresh_usd", "cache_usd", "output_usd", "total_usd"), "blocks", "turns"),
     "saved_micros": _t(lambda t: L.with_saved(t).select("id", "saved_micros")),
@@ -134,7 +134,7 @@ SELECT session_id, cc_session_id, agent, project, count(*) AS turns, min(ts) AS
   CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(output_tok) AS BIGINT) AS output_tok,
   CAST(sum(bill_micros) AS BIGINT) AS bill_micros, max(id) AS last_id, max(CASE WHEN newest = 1 THEN fresh_input + cache_read + cache_write END) AS last_input
 FROM r GROUP BY session_id, cc_session_id, agent, project""",
-    "occupancy": _CAT + "SELECT section, bucket, group_label, label, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM sh WHERE turn_id = 42 AND zone = 'input' GROUP BY ALL",
+    "occupancy": _CAT + "SELECT turn_id, section, bucket, group_label, label, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM sh WHERE zone = 'input' GROUP BY ALL",
     "prefix_tape": _CAT + """SELECT id, turn_id, zone, section, bucket, group_label, label, mcp_server, tool_name, raw_tokens, round(fresh_tok, 6) AS fresh_tok,
   round(cache_read_tok, 6) AS cache_read_tok, round(cache_write_tok, 6) AS cache_write_tok, round(output_tok_share, 6) AS output_tok_share FROM sh""",
     "cost_by_source": _CAT + """, c AS (SELECT group_label, label, sum(fresh_tok * input_rate / 1e6) AS f,
