@@ -14,12 +14,15 @@ a common prefix; a plain score maximum would not equal the model's own segmentat
 
 Defined cases: null or empty text has no ids and decodes to the empty text; characters
 outside of the vocabulary become byte pieces (or the unknown id where the model has no
-bytes); a text that holds the mark itself decodes with a space in its place; repeated rows
-are encoded each; other columns pass through `encode_documents` as asked.
+bytes); a text that holds the mark itself decodes with a space in its place; a very long
+text is a slice of its own and is encoded whole; of paths with equal scores the one whose
+last piece begins first wins; repeated rows are encoded each; an empty table gives no rows;
+other columns pass through `encode_documents` as asked.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenweir.llm.arrowtext import SLICE_BYTES, slices
-from tokenweir.llm.common import small_batches
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and pairs that a worker remembers; on overflow it forgets all, results are the same.
+#: Words, their characters and pairs that a worker remembers; on overflow it forgets all, results are the same.
 CACHE_WORDS = 400_000
+CACHE_CHARS = 8_000_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -104,6 +107,7 @@ class PieceModel:
         self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.lowest = min(self.scores[i] for i in self.ids.values()) - 10
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.live: set[str] | dict[str, int] = self.ids
         if self.bpe:
@@ -221,9 +225,12 @@ class PieceModel:
         cut, words = self.cut.findall, self.words
         units = [cut((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*units) - words.keys() if units else set()
-        if len(words) + len(new) > CACHE_WORDS:
+        more = sum(map(len, new))
+        if len(words) + len(new) > CACHE_WORDS or self.held + more > CACHE_CHARS:
             words.clear()
             new = set().union(*units)
+            self.held, more = 0, sum(map(len, new))
+        self.held += more
         words.update(self.learn(sorted(new)))
         out = []
         for us in units:
@@ -239,6 +246,7 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+#: Models that a worker has parsed, by the SHA-256 of their file.
 _MODELS: dict[bytes, PieceModel] = {}
 
 
@@ -248,15 +256,14 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, columns:
     round_trip says whether decoding the ids gives the text again (marks count as spaces).
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     with open(model_path, "rb") as f:  # the driver reads the file, executors get its bytes
         shared = spark.sparkContext.broadcast(f.read())
+    key = hashlib.sha256(shared.value).digest()
     names = ["n_pieces", "piece_ids", "round_trip"]
     columns = [c for c in (columns or ["doc_id"]) if c not in names]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value[-64:]
         model = _MODELS.get(key) or _MODELS.setdefault(key, PieceModel(shared.value))
         for batch in batches:
             for i, j, data, at in slices(batch.column(len(columns)), SLICE_BYTES):
