@@ -370,7 +370,7 @@ def shape_generated(text: str) -> str | None:
     if len(text) < 800:
         return None
     ls = [x for x in lines(text) if x.strip()]
-    records = sum(bool(re.match(r'\s*(?:"?(?:resolved|integrity|checksum|version)"?\s*[:= ]|\[\[package\]\])', x)) for x in ls)
+    records = sum(bool(re.match(X.LOCK_RECORD, x)) for x in ls)
     if _LOCK.search(text) or (len(ls) >= 12 and records * 100 >= 15 * len(ls)):
         what = "lockfile"
     elif any(len(x) >= 2000 and sum(map(str.isspace, x)) * 100 < 8 * len(x) and sum(c in "{}();,=" for c in x) * 100 >= 4 * len(x) for x in ls):

@@ -8,12 +8,15 @@ from pyspark.sql import Column, functions as F
 STRONG = r"(?i)\b(error|fatal|fail(?:ed|ure)?|panic(?:ked)?|exception|traceback|segfault|assert(?:ion)?|not ok)\b|failure"
 WARN = r"(?i)\b(warn(?:ing)?|deprecat)"
 LEVEL = r"(?i)\b(error|warn|info|debug|trace|fatal|fail|panic|exception)\b"
+# A search hit: path, line number, text.
 GREP_LINE = r"^(?:[A-Za-z]:)?[^:\n]*[A-Za-z./\\][^:\n]*:\d+:"
 # Lines that only lock files have, wherever they stand in a text.
 LOCK_HEADER = (
     r"(?im)^[ \t]*(?:# This file is automatically @?generated|#[^\n]*\bgenerated by (?:cargo|poetry)|# yarn lockfile"
     r'|lockfileVersion:|(?:\{[^\n]*)?"lockfileVersion"[ \t]*:)'
 )
+# The record lines of lock files.
+LOCK_RECORD = r'^\s*(?:"?(?:resolved|integrity|checksum|version)"?\s*[:= ]|\[\[package\]\])'
 # The variable parts of a line, most specific first.
 VARIABLE = (
     r'"[^"]*"'
@@ -89,22 +92,23 @@ def variables(line: Column) -> Column:
 
 def structured(text: Column) -> Column:
     """JSON, records, delimited or key-value lines, or text dense in signs."""
-    t, ls = F.trim(text), nonblank(lines(text))
-    n = F.size(ls)
-    shares = []
-    for d in [",", "\t", "|", ";"]:
-        counts = F.transform(ls, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
-        most = F.array_max(counts)
-        same = F.size(F.filter(counts, lambda c, m=most: c == m))
-        shares.append((most > 0) & (same * 4 >= n * 3))
-    kv = count_like(ls, r"^\s*[\w.\-]+\s*[:=]\s*\S")
+
+    def uniform(counts: Column, n: Column) -> Column:
+        return let(F.array_max(counts), lambda most: (most > 0) & (F.size(F.filter(counts, lambda c: c == most)) * 4 >= n * 3))
+
+    def tabular(ls: Column) -> Column:
+        n = F.size(ls)
+        out = count_like(ls, r"^\s*[\w.\-]+\s*[:=]\s*\S") * 4 >= n * 3
+        for d in [",", "\t", "|", ";"]:
+            counts = F.transform(ls, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
+            out = out | let(counts, lambda c: uniform(c, n))
+        return (n >= 3) & out
+
+    t = F.trim(text)
     solid = F.length(F.regexp_replace(t, r"\s", ""))
     signs = F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]"))
     is_json = (F.rlike(t, F.lit(r"^[\[{]")) & F.get_json_object(t, "$").isNotNull()) | F.contains(t, F.lit("},{"))
-    delimited = shares[0]
-    for s in shares[1:]:
-        delimited = delimited | s
-    return F.coalesce(is_json, F.lit(False)) | ((n >= 3) & (delimited | (kv * 4 >= n * 3))) | ((solid >= 40) & (signs * 100 >= solid * 22))
+    return F.coalesce(is_json, F.lit(False)) | let(nonblank(lines(text)), tabular) | ((solid >= 40) & (signs * 100 >= solid * 22))
 
 
 def generated_kind(text: Column) -> Column:
@@ -112,7 +116,7 @@ def generated_kind(text: Column) -> Column:
     ls = nonblank(lines(text))
     n = F.size(ls)
     header = F.rlike(text, F.lit(LOCK_HEADER))
-    records = count_like(ls, r"^\s*(?:\"?(?:resolved|integrity|checksum|version)\"?\s*[:= ]|\[\[package\]\])")
+    records = count_like(ls, LOCK_RECORD)
     long = F.filter(ls, lambda x: F.length(x) >= 2000)
     packed = F.exists(
         long,

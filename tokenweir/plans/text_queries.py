@@ -70,6 +70,12 @@ def _chain_reuse(spark, d):
     return S.known_prefix(chain, chain.filter("seg_ix <= 2"))
 
 
+#: Documents in forms that reach every branch, as both dialects can say them.
+_SHAPES = """CASE doc_id % 6 WHEN 1 THEN replace(text, ' ', ',') WHEN 2 THEN concat('{"id":', doc_id, ',"rest":[1,2]}') WHEN 3 THEN replace(replace(text, 'e', '#'), 'n', '%')
+  WHEN 4 THEN concat('a: ', replace(text, ' ', chr(10) || 'key = ')) WHEN 5 THEN concat('[{"a":1},{"a":', doc_id) ELSE text END"""
+_FILES = """CASE doc_id % 6 WHEN 1 THEN concat('some output', chr(10), '  # yarn lockfile v1', chr(10), text) WHEN 2 THEN replace(replace(text, chr(10), ''), ' ', '(x,y);')
+  WHEN 3 THEN replace(text, ' ', chr(10) || 'version = ') WHEN 4 THEN concat('#', replace(replace(replace(replace(text, chr(10), ''), ' ', ''), '.', ''), ',', '')) WHEN 5 THEN concat('{"lockfileVersion": 3,', text) ELSE text END"""
+
 QUERIES = {
     "token_estimate": lambda s, d: _docs(s, d).select("doc_id", estimate(F.col("text")).alias("tokens")),
     "segment_roles": lambda s, d: _conv(s, d).groupBy("role").agg(F.count("*").alias("segments"), F.sum(estimate(F.col("text"))).alias("tokens")),
@@ -88,10 +94,10 @@ QUERIES = {
     "route_preset": lambda s, d: S.route_preset(_conv(s, d)),
     "frozen_prefix": lambda s, d: S.frozen_prefix(_conv(s, d), F.length("text") > 300).select("request_id", "seg_ix", "frozen"),
     "question_terms": lambda s, d: S.question(_conv(s, d)).select("request_id", "q_ix", F.array_join(F.array_sort("query"), " ").alias("query")),
-    "structured_segment": lambda s, d: _docs(s, d).select("doc_id", X.structured(F.col("text")).alias("structured")),
+    "structured_segment": lambda s, d: _docs(s, d).select("doc_id", X.structured(F.expr(_SHAPES)).alias("structured")),
     "terminal_normal": lambda s, d: _log(s, d).select("seg", "pos", X.terminal_normal(F.concat(F.lit("10%\r50%\r\x1b[32m"), "line", F.lit("\x1b[0m\r\nend"))).alias("text")),
     "answer_normal": lambda s, d: _docs(s, d).select("doc_id", X.answer_normal(F.col("text")).alias("answer")),
-    "generated_kind": lambda s, d: _docs(s, d).select("doc_id", X.generated_kind(F.regexp_replace("text", r"\s", "")).alias("kind")),
+    "generated_kind": lambda s, d: _docs(s, d).select("doc_id", X.generated_kind(F.expr(_FILES)).alias("kind")),
     "significant": lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.significant(F.col("l_extendedprice")), 6).alias("v")),
     "bm25_rank": lambda s, d: R.best_lines(R.bm25_lines(_docs(s, d), "doc_id"), "doc_id", 5),
     "bm25_chunks": lambda s, d: R.ranked(_bm25(s, d).withColumn("score", F.round("score", 9)), "doc_id", "pos", 5).select("doc_id", "pos", "score", "rank"),
@@ -113,6 +119,7 @@ def _sq(s: str) -> str:
 _EST = rf"""CAST(floor((coalesce(list_sum(list_transform(regexp_extract_all(text, '[{LETTER}]+'), lambda x: (length(x) + 3) // 4)), 0)
   + coalesce(list_sum(list_transform(regexp_extract_all(text, '[{SPACE}]+'), lambda x: (length(x) + 2) // 4)), 0)
   + len(regexp_extract_all(text, '[^{LETTER}{SPACE}]'))) * 0.72 + 0.5) AS BIGINT)"""
+_SOLID = r"list_filter(regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n'), lambda x: trim(x, ' ') <> '')"
 _STRONG, _WARN, _LEVEL, _VAR = map(_sq, (X.STRONG, X.WARN, X.LEVEL, X.VARIABLE))
 _LINES = r"""CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(regexp_replace(text, '\r?\n\z', ''), '\r\n', chr(10), 'g'), chr(10)) END"""
 
@@ -233,6 +240,17 @@ b AS (SELECT *, list_intersect(list_distinct(s), q) AS uni,
   list_distinct(list_filter(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]), lambda x: list_contains(q, split_part(x, ' ', 1)) OR list_contains(q, split_part(x, ' ', 2)))) AS bi,
   list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) AS kb FROM w)
 SELECT request_id, seg_ix, round(CASE WHEN len(uni) + len(bi) > 0 THEN (len(list_intersect(uni, k)) + len(list_intersect(bi, kb))) * 1.0 / (len(uni) + len(bi)) ELSE 1.0 END, 9) AS coverage FROM b""",
+    "structured_segment": f"""WITH i AS (SELECT doc_id, {_SHAPES} AS text FROM documents), l AS (SELECT *, trim(text, ' ') AS t, {_SOLID} AS ls FROM i),
+c AS (SELECT *, len(ls) AS n, {', '.join(f"list_transform(ls, lambda x: length(x) - length(replace(x, {d}, ''))) AS c{k}" for k, d in enumerate(("','", "chr(9)", "'|'", "';'")))},
+  len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[\\w.\\-]+\\s*[:=]\\s*\\S'))) AS kv, length(regexp_replace(t, '\\s', '', 'g')) AS solid, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s]')) AS signs FROM l)
+SELECT doc_id, coalesce((regexp_matches(t, '^[\\[{{]') AND json_valid(t)) OR contains(t, '}},{{'), FALSE)
+  OR (n >= 3 AND (kv * 4 >= n * 3 OR {' OR '.join(f"(list_max(c{k}) > 0 AND len(list_filter(c{k}, lambda x: x = list_max(c{k}))) * 4 >= n * 3)" for k in range(4))}))
+  OR (solid >= 40 AND signs * 100 >= solid * 22) AS structured FROM c""",
+    "generated_kind": f"""WITH i AS (SELECT doc_id, {_FILES} AS text FROM documents), l AS (SELECT *, {_SOLID} AS ls FROM i),
+c AS (SELECT doc_id, text, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, {_sq(X.LOCK_RECORD)}))) AS records, regexp_matches(text, {_sq(X.LOCK_HEADER)}) AS header,
+  len(list_filter(ls, lambda x: length(x) >= 2000 AND len(regexp_extract_all(x, '\\s')) * 100 < length(x) * 8 AND len(regexp_extract_all(x, '[{{}}();,=]')) * 100 >= length(x) * 4)) > 0 AS packed,
+  regexp_matches(text, '[A-Za-z0-9+/=]{{1000}}[A-Za-z0-9+/=]{{500}}') AS blob FROM l)
+SELECT doc_id, CASE WHEN length(text) < 800 THEN NULL WHEN header OR (n >= 12 AND records * 100 >= n * 15) THEN 'lockfile' WHEN packed THEN 'minified' WHEN blob THEN 'base64' END AS kind FROM c""",
     "bigram_curve": _CURVE + "SELECT * FROM cu",
     "knee": _CURVE + """, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n, max(seen) OVER (PARTITION BY seg) AS total FROM cu),
 b AS (SELECT seg, i, round(seen * 1.0 / total - i * 1.0 / (n - 1), 12) AS bow FROM i WHERE n >= 3 AND total > 0),
