@@ -7,14 +7,18 @@ back unchanged. Turns after the last reply form one example without loss, so tha
 output holds the whole conversation.
 
 Defined cases: null text or role is empty; turns that share a number are ordered by role
-and text; a null conv_id is a conversation; an empty table gives no examples; other
-columns are ignored.
+and text, repeated rows are turns of their own; a null conv_id is a conversation; a very
+long conversation is formatted in one row, its examples after one another (their sizes add
+up to the square of its turns, as prefix expansion has it); an empty table gives no
+examples; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tokenweir.functions.text import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -63,19 +67,24 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
             ),
         ).alias("ms"),
     )
-    exploded = marked.select(
-        "conv_id", "ms", F.size("ms").alias("n"), F.posexplode("ms").alias("at", "m")
-    ).filter(F.col("m.reply") | (F.col("at") == F.col("n") - 1))
-    whole = lambda upto: F.array_join(
-        F.transform(F.slice("ms", 1, upto), lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), ""
-    )
-    return exploded.select(
-        "conv_id",
-        F.col("at").cast("long").alias("example"),
-        F.when(F.col("m.reply"), F.concat(whole(F.col("at")), F.col("m.head"))).otherwise(whole(F.col("n"))).alias("context"),
-        F.when(F.col("m.reply"), F.col("m.body")).alias("target"),
-        F.when(F.col("m.reply"), F.lit(END + "\n")).otherwise(F.lit("")).alias("suffix"),
-    )
+    # every example is made inside the row, so that what is exploded carries its own text alone
+    def examples(ms: Column) -> Column:
+        def made(turns: Column) -> Column:
+            whole = lambda upto: F.array_join(F.slice(turns, 1, upto), "")
+            rest = F.lit(END + "\n")
+            one = lambda m, i: F.struct(
+                i.cast("long").alias("example"),
+                F.when(m["reply"], F.concat(whole(i), m["head"])).otherwise(whole(F.size(ms))).alias("context"),
+                F.when(m["reply"], m["body"]).alias("target"),
+                F.when(m["reply"], rest).otherwise(F.lit("")).alias("suffix"),
+            )
+            last = lambda m, i: m["reply"] | (i == F.size(ms) - 1)
+            made = F.transform(ms, lambda m, i: F.when(last(m, i), one(m, i)))
+            return F.filter(made, lambda x: x.isNotNull())
+
+        return let(F.transform(ms, lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), made)
+
+    return marked.select("conv_id", F.explode(let(F.col("ms"), examples)).alias("x")).select("conv_id", "x.*")
 
 
 def read_turns(formatted: Column) -> Column:

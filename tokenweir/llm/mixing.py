@@ -5,10 +5,14 @@ source exceeds by more than `cap` repetitions, and each document is emitted floo
 times plus one copy with probability equal to the fraction. The coin is an MD5 digest of
 seed and document id, so every rerun and every partitioning gives the same mix.
 
-Defined cases: null text has size 0 and follows its source; a null source is a source of
-its own and ranks last; rows that repeat a doc_id share one coin; an empty table gives an
-empty mix; columns beside the named ones pass through, and a column named like one of the
-results stays inside `mix` (which adds none) and is ignored by `mix_plan`.
+Sources are ranked by windows over one row per source, in one task: thousands or millions
+of sources are meant, not one per document.
+
+Defined cases: null text has size 0 and follows its source, a very long text counts whole;
+a null source is a source of its own and ranks last; sources with equal ratios are capped
+in the order of their names; rows that repeat a doc_id share one coin; an empty table gives
+an empty mix; columns beside the named ones pass through, and a column named like one of
+the results stays inside `mix` (which adds none) and is ignored by `mix_plan`.
 """
 
 from __future__ import annotations
