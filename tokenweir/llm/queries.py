@@ -64,6 +64,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, labels))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality that SQL can say."""
+    found = quality.score_quality(table(spark, sf_dir, "documents"), None)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "quality_base": quality_base,
 }
 
 _OP1 = r"""
@@ -188,4 +195,16 @@ SELECT q.vec_id, (SELECT count(*) FROM l WHERE l.a = q.vec_id) AS n_links, m.com
 FROM embeddings q JOIN m ON m.vec_id = q.vec_id
 """
 
-ORACLES = {"op1_mix": _OP1, "op2_neardup": _OP2, "op3_warc": _OP3, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
+_BASE = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT k, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+d AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT k, count(DISTINCT i + j) AS n FROM d, range(8) r(j) GROUP BY k),
+l AS (SELECT k, count(*) - count(DISTINCT x) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY k),
+a AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN c ON c.k = w.k LEFT JOIN l ON l.k = w.k)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a
+"""
+
+ORACLES = {"quality_base": _BASE, "op1_mix": _OP1, "op2_neardup": _OP2, "op3_warc": _OP3, "op6_licenses": _op6_sql(), "op8_chat": _OP8}
