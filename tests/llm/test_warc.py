@@ -46,7 +46,7 @@ def test_files_and_nested_captures(spark):
     warc.write_warc(pages(spark, ROWS), path)
     folder = path.removeprefix("file://")
     raw = b"".join(gzip.decompress(open(f"{folder}/{f}", "rb").read()) for f in sorted(os.listdir(folder)) if f.endswith(".gz"))
-    kinds = [h["warc-type"][0] for h, _ in warc.parse(raw)]
+    kinds = [h["warc-type"][0] for h, _ in warc.parse([raw])]
     assert sorted(kinds) == sorted(["request", "metadata"] * 6 + ["response"] * 4 + ["revisit"] * 2)
     captures = {r.metadata.fields["page-id"]: r for r in warc.assemble(warc.read_warc(spark, path)).collect()}
     assert captures["6"].response.payload.decode() == ROWS[5][2]
@@ -59,6 +59,30 @@ def test_repeated_ids_and_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
-def test_gunzip_members():
-    assert warc.gunzip(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
-    assert warc.gunzip(b"plain") == b"plain"
+def test_pieces_of_files():
+    """A member per record, members in one piece, plain files, any size of piece, cut ends."""
+    records = [f"WARC/1.1\r\nWARC-Type: t\r\nContent-Length: {n}\r\n\r\n".encode() + b"WARC/x\r\n\r\n"[: n % 9].ljust(n, b"b") + b"\r\n\r\n" for n in (0, 5, 8, 3000)]
+    want = [(len(r) and int(r.split(b"Length: ")[1].split(b"\r")[0])) for r in records]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(map(gzip.compress, records)) + b"rest"):
+        for step in (1, 7, 100, 1 << 18):
+            assert [len(block) for _, block in warc.parse(warc.unpacked(data, step))] == want
+    assert len(list(warc.parse(warc.unpacked(b"".join(records)[:-100])))) == 3
+    assert list(warc.parse([b"WARC/1.1\r\nContent-Length: x\r\n\r\n"])) == [({"content-length": ["x"]}, b"")]
+
+
+def test_more_than_a_file_and_a_batch(spark, monkeypatch):
+    """Pages beyond FILE_BYTES and BATCH_BYTES, a very long page, and the join beyond the broadcast bound."""
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 2)
+    rows = [(i, f"http://c.example/{i}", f"page {i % 30} " * 40) for i in range(90)] + [(100, "u", "long " * 200_000)]
+    path = new_path(spark, "warc-test")
+    warc.write_warc(pages(spark, rows), path, file_bytes=20_000)
+    assert len(os.listdir(path.removeprefix("file://"))) > 8
+    got = {r.page_id: r for r in warc.resolve_revisits(warc.assemble(warc.read_warc(spark, path))).collect()}
+    assert len(got) == 91 and got[100].payload_bytes == 1_000_000
+    assert all((got[i].record_type, got[i].refers_to) == (("response", None) if i < 30 else ("revisit", i % 30)) for i in range(90))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "u", "a", 5, "k"), (2, "u", "a", 6, "k"), (2, "u", "b", 7, "k")], "page_id long, url string, html string, __key long, digest string")
+    got = sorted(tuple(r) for r in warc.round_trip(docs).select("page_id", "record_type", "refers_to").collect() if r.page_id == 1 or r.record_type)
+    assert got[0] == (1, "response", None) and (2, "revisit", 1) in got and len(got) == 3

@@ -1,7 +1,7 @@
 """Content anchors of byte strings: window minima of k-gram hashes.
 
 A window of WINDOW bytes has one anchor, the leftmost of its k-grams with the smallest
-hash; equal windows have the same anchor at the same place. Consecutive windows of one
+hash, whatever stands around it; equal windows have the same anchor at the same place. Consecutive windows of one
 anchor form a run, so a text of n bytes has about n / 35 runs.
 """
 
@@ -34,35 +34,42 @@ def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     return mixed(h)
 
 
-def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    span, m = 1, v
+def leftmost_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Per window of w values, the place of its smallest value, the leftmost of equals."""
+
+    def better(m, p, m2, p2):
+        right = m2 < m
+        return np.where(right, m2, m), np.where(right, p2, p)
+
+    span, m, p = 1, v, np.arange(len(v), dtype=np.int32 if len(v) < 1 << 31 else np.int64)
     while 2 * span <= w:
-        m = np.minimum(m[:-span], m[span:])
+        m, p = better(m[:-span], p[:-span], m[span:], p[span:])
         span *= 2
-    return np.minimum(m[: len(v) - w + 1], m[w - span : w - span + len(v) - w + 1]) if w > span else m
+    n = len(v) - w + 1
+    return better(m[:n], p[:n], m[w - span : w - span + n], p[w - span : w - span + n])[1] if w > span else p
 
 
 def runs(data: np.ndarray, at: np.ndarray, window: int = WINDOW, k: int = GRAM):
-    """Per run: document, first window start, number of windows, anchor place, anchor hash."""
+    """Per run: document, first window start, number of windows, anchor place, anchor hash.
+
+    Whole hashes are compared, so the anchor of a window depends on its own bytes alone.
+    """
     empty = np.zeros(0, np.int64)
     if len(data) < window:
         return empty, empty, empty, empty, empty.view(np.uint64)
     h = gram_hashes(data, k)
-    bits = max(1, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    anchor = (sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), window - k + 1) & low).astype(np.int64)
     n = len(data) - window + 1
-    valid = np.zeros(len(data) + 1, np.int64)
+    anchor = leftmost_min(h, window - k + 1)[:n]
+    valid = np.zeros(len(data) + 1, np.int32)
     length = at[1:] - at[:-1]
     long = length >= window
     np.add.at(valid, at[:-1][long], 1)
     np.add.at(valid, at[1:][long] - window + 1, -1)
-    ok = np.cumsum(valid)[:n] > 0
-    anchor = np.where(ok, anchor[:n], -1)
+    anchor = np.where(np.cumsum(valid)[:n] > 0, anchor, -1)
     edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(edge, n))
     real = anchor[edge] >= 0
-    lo, size, a = edge[real], size[real], anchor[edge[real]]
+    lo, size, a = edge[real], size[real], anchor[edge[real]].astype(np.int64)
     return np.searchsorted(at, lo, side="right") - 1, lo, size, a, h[a]
 
 

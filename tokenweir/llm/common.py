@@ -14,17 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in an Arrow batch of texts; Spark's own default counts on short rows.
-ARROW_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of long texts, unless the session says otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
@@ -40,38 +29,70 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; Hadoop removes it when the session's JVM ends."""
     path = f"{shared_dir(spark)}/tokenweir/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    fs, hadoop = _hadoop(spark, path)
+    fs.deleteOnExit(hadoop)
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes what new_path named, before the session ends."""
+    fs, hadoop = _hadoop(spark, path)
+    fs.delete(hadoop, True)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """`df` as a table in the shared folder, and its path: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return written(df, label)[0]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner works when the driver's JVM collects garbage, which a long run of small
+    driver work doesn't cause.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def packed_row(df: DataFrame, out: str = "__row"):
+    """All columns of `df` as one struct, so that no name of theirs meets a name of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(out)
 
 
-def with_row_key(df: DataFrame, id_col: str, out: str = "__key", rank_by: str = "text") -> DataFrame:
-    """`df` with a unique, non-null long `out` that sorts as (`id_col`, text); nulls first.
+def with_row_key(df: DataFrame, id_col: str, rank_by: str = "text") -> DataFrame:
+    """`__key`, a unique, non-null long that sorts as `id_col` (nulls first), and `__row`, all columns of df.
 
-    Where the ids are unique and not null, they are the keys (one small aggregate finds
-    out). Otherwise rows are sorted once and numbered through a written table, so that a
-    recomputed task sees the same numbers.
+    Where the ids are unique and not null, they are the keys (one aggregate of the ids
+    finds out). Otherwise rows are sorted once by id and by the SHA-256 of `rank_by` (rows
+    that are equal in both are dealt out evenly) and numbered through a written table, so
+    that a recomputed task sees the same numbers.
     """
-    seen = df.groupBy(F.col(id_col)).agg(F.count("*").alias("n")).agg(
-        F.max("n").alias("most"), F.sum(F.col(id_col).isNull().cast("int")).alias("nulls")
+    seen = df.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n")).agg(
+        F.max("n").alias("most"), F.sum(F.col("i").isNull().cast("int")).alias("nulls")
     ).first()
     kind = dict(df.dtypes)[id_col]
+    row = packed_row(df)
     if kind in ("tinyint", "smallint", "int", "bigint") and (seen["most"] or 0) <= 1 and not seen["nulls"]:
-        return df.withColumn(out, F.col(id_col).cast("long"))
-    ranked = df.repartitionByRange(F.col(id_col).asc_nulls_first(), F.col(rank_by).asc_nulls_first()).sortWithinPartitions(
-        F.col(id_col).asc_nulls_first(), F.col(rank_by).asc_nulls_first()
+        return df.select(F.col(id_col).cast("long").alias("__key"), row)
+    order = [F.col(f"__row.{id_col}").asc_nulls_first(), F.col("__rank"), F.col("__spread")]
+    ranked = df.select(
+        row, F.coalesce(F.sha2(F.col(rank_by).cast("binary"), 256), F.lit("")).alias("__rank"), F.monotonically_increasing_id().alias("__spread")
     )
-    return materialize(ranked.withColumn(out, F.monotonically_increasing_id()), "keyed")
+    ranked = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranked.select(F.monotonically_increasing_id().alias("__key"), "__row"), "keyed")

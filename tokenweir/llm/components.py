@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tokenweir.llm.common import materialize
+from tokenweir.llm.common import drop_path, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,15 +29,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b long): the smallest node reachable.
 
-    Stops when a round leaves the edges as they are; then each node links to its root.
+    Goes on until a round leaves the edges as they are; then each node links to its root.
+    A round's table is deleted once the next is written. Null nodes and loops are ignored;
+    no edges give no rows.
     """
-    now = materialize(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
+    pairs = edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct()
+    now, path = written(pairs, "edges")
     state = None
-    for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
+    while True:
+        after, new = written(_star(_star(now, True), False), "edges")
+        drop_path(edges.sparkSession, path)
+        now, path = after, new
         seen = now.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
@@ -45,8 +50,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (seen["n"], seen["h"]) == state or not seen["n"]:
             break
         state = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     own = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return roots.union(own)

@@ -4,36 +4,39 @@ A byte goes if a WINDOW-byte string that starts earlier (smaller key, or earlier
 same document) covers it; what starts earlier is judged on the input. Steps:
 
 1. Every window has a content anchor (see anchors.py); windows of one anchor form a run.
-   Runs travel as packed blocks to the part of their anchor hash. Of runs with equal
-   bytes and anchor (two 64-bit hashes) all but the first repeat wholly; within a batch
-   that is settled before the shuffle, so copies cost a row per batch.
-2. Anchors with several different runs are the edges of passages. Their bytes are fetched
-   once more, and the suffixes at their window starts are sorted by content: mergesort
-   within groups that share anchor and offset, where two suffixes are compared by binary
-   search for their common extension over prefix polynomial hashes (seven steps for 100
-   bytes). Neighbours found equal are verified byte by byte.
+   Equal windows have equal anchors, so only runs of one anchor can repeat one another.
+   Runs that equal an earlier one of their batch, byte by byte, are settled there, so
+   copies cost a row per batch. The others travel without their bytes, packed, to the part
+   of their anchor hash, only to find out which anchors several runs have.
+2. The bytes of those runs are fetched, and the suffix sort decides: mergesort of the runs
+   of an anchor, and then of all windows of runs that differ, within groups that share
+   anchor and offset. Two suffixes are compared by binary search for their common extension
+   over prefix polynomial hashes (eight steps at most), and neighbours found equal are
+   verified byte by byte.
 3. Anchors that very many documents share (found on a bounded sample of documents) would
-   make groups too large for a task; their windows are dealt out singly by their own
-   128-bit hash, after the batch has settled its own repeats.
+   make groups too large for a task; their windows are dealt out singly by a hash of their
+   own, after the batch has settled its own repeats, and sorted and verified like runs.
 
 Defined cases: null or empty text has no bytes and removes nothing; texts below WINDOW
-bytes never lose or cause anything; null or repeated doc_ids count as documents of their
-own (nulls first, then by id and text); an empty table gives no rows.
+bytes never lose or cause anything; a very long text is a slice of its own; null or
+repeated doc_ids count as documents of their own (nulls first, then by id and the SHA-256
+of the text; of equal rows one is first); an empty table gives no rows; other columns,
+whatever their names, stay in `__row`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tokenweir.llm import anchors
 from tokenweir.llm.anchors import WINDOW
-from tokenweir.llm.arrowtext import flat, slices
-from tokenweir.llm.common import materialize, small_batches, with_row_key
+from tokenweir.llm.arrowtext import SLICE_BYTES, flat, slices
+from tokenweir.llm.common import materialize, release_shuffles, with_row_key
 
 #: Runs per part of the first shuffle, windows' bytes per part of the second.
 PART_RUNS = 200_000
@@ -42,13 +45,14 @@ PART_BYTES = 2 << 20
 HEAVY_DOCS = 20_000
 HEAVY_COUNT = 60
 FLUSH_RUNS = 1 << 19
+#: Bytes of a suffix at most: a run's windows and one window more. Strings that collide by their structure have 1,024.
+LONGEST = 2 * WINDOW
 #: Bytes of text whose windows are hashed at once: some twenty 8-byte numbers a byte.
 HASH_BYTES = 1 << 19
 
-_RUN = np.dtype([("h", "<u8"), ("g", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("n", "<u1"), ("off", "<u1")])
-_WIN = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("lo", "<u4")])
-_DONE = np.dtype([("key", "<i8"), ("lo", "<u4"), ("n", "<u1")])
-_CTX = np.dtype([("h", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("n", "<u1"), ("off", "<u1")])
+_RUN = np.dtype([("h", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("n", "u1"), ("off", "u1")])
+_WIN = np.dtype([("h", "<u8"), ("key", "<i8"), ("lo", "<u4")])
+_DONE = np.dtype([("key", "<i8"), ("lo", "<u4"), ("n", "<u4")])
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -68,36 +72,36 @@ def _firsts(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
 
 
 def slice_runs(data: np.ndarray, at: np.ndarray, keys: np.ndarray, heavy: np.ndarray):
-    """(runs, windows, done) of a slice of documents, each class once."""
-    doc, lo, n, a, h = anchors.runs(data, at)
-    prefix, powers = anchors.prefix_hash(data)
-    with np.errstate(over="ignore"):
-        tail = ((a - lo) * 256 + n).astype(np.uint64)
-        g = anchors.mixed(anchors.span_hash(prefix, powers, lo, lo + n + WINDOW - 1) + anchors.mixed(tail))
-    rel = (lo - at[doc]).astype(np.uint32)
+    """(runs, windows of heavy anchors, done) of a slice of documents, each content once."""
+    _, lo, n, a, h = anchors.runs(data, at)
+    s = Suffixes(data)
+
+    def once(kind: np.dtype, start: np.ndarray, n: np.ndarray, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc = np.searchsorted(at, start, side="right") - 1
+        key, place = keys[doc], start - at[doc]
+        again = s.repeats(start, n + WINDOW - 1, alike(h, off, n), key, place)
+        out = np.empty(len(start), kind)
+        for field, v in (("h", h), ("key", key), ("lo", place), ("n", n), ("off", off)):
+            if field in kind.names:
+                out[field] = v
+        return out[~again], _spans(key[again], place[again], n[again])
+
     hot = _member(heavy, h)
-    cold = np.flatnonzero(~hot)
-    run = np.empty(len(cold), _RUN)
-    for name, v in (("h", h), ("g", g), ("key", keys[doc]), ("lo", rel), ("n", n), ("off", a - lo)):
-        run[name] = v[cold]
-    order = np.lexsort((run["lo"], run["key"], run["g"], run["h"]))
-    new = _firsts([run["h"], run["g"]], order)
-    done = [_as_done(run[order[~new]])]
-    run = run[order[new]]
-    win = np.empty(0, _WIN)
-    if hot.any():
-        w, idx = _explode(lo[hot], n[hot])
-        win = np.empty(len(w), _WIN)
-        with np.errstate(over="ignore"):
-            one = anchors.span_hash(prefix, powers, w, w + WINDOW)
-            win["a"] = anchors.mixed(one)
-            win["b"] = anchors.mixed(anchors.span_hash(prefix, powers, w, w + WINDOW // 2) * np.uint64(3) + (h[hot][idx] << np.uint64(1)))
-        win["key"], win["lo"] = keys[doc[hot][idx]], rel[hot][idx] + (w - lo[hot][idx]).astype(np.uint32)
-        order = np.lexsort((win["lo"], win["key"], win["b"], win["a"]))
-        new = _firsts([win["a"], win["b"]], order)
-        done.append(_ones(win[order[~new]]))
-        win = win[order[new]]
-    return run, win, np.concatenate(done)
+    run, done = once(_RUN, lo[~hot], n[~hot], h[~hot], (a - lo)[~hot])
+    w, idx = _explode(lo[hot], n[hot])
+    win, more = once(_WIN, w, np.ones(len(w), np.int64), window_hash(s, w, h[hot][idx]), np.zeros(len(w), np.int64))
+    return run, win, np.concatenate([done, more])
+
+
+def window_hash(s: Suffixes, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of single windows, from their bytes and their anchor's hash."""
+    with np.errstate(over="ignore"):
+        return anchors.mixed(s.span(start, WINDOW) + h * np.uint64(3))
+
+
+def alike(h: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The group of runs of one anchor whose lengths and anchor places are the same."""
+    return anchors.mixed(h ^ anchors.mixed((off * 256 + n).astype(np.uint64)))
 
 
 def _explode(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,16 +109,19 @@ def _explode(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), idx
 
 
-def _as_done(rows: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), _DONE)
-    for name in ("key", "lo", "n"):
-        out[name] = rows[name]
-    return out
-
-
-def _ones(rows: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), _DONE)
-    out["key"], out["lo"], out["n"] = rows["key"], rows["lo"], 1
+def _spans(key: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Ranges of window starts (key, lo, n), joined where they touch."""
+    out = np.empty(len(key), _DONE)
+    if not len(key):
+        return out
+    order = np.lexsort((lo, key))
+    key, lo, end = key[order], lo[order].astype(np.int64), (lo + n)[order].astype(np.int64)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] > end[:-1])  # ranges of one document don't overlap
+    head = np.flatnonzero(new)
+    out = out[: len(head)]
+    out["key"], out["lo"] = key[head], lo[head]
+    out["n"] = end[np.append(head[1:], len(key)) - 1] - lo[head]
     return out
 
 
@@ -135,8 +142,8 @@ def run_blocks(keyed: DataFrame, parts: int, heavy: np.ndarray) -> DataFrame:
         run, win, done = (np.concatenate(x) for x in zip(*held))
         for kind, rows, part in (
             (0, run, anchors.mixed(run["h"]) % np.uint64(parts)),
-            (1, win, anchors.mixed(win["a"]) % np.uint64(parts)),
-            (2, done, anchors.mixed(done["key"].view(np.uint64) if done["key"].flags.c_contiguous else done["key"].copy().view(np.uint64)) % np.uint64(parts)),
+            (1, win, anchors.mixed(win["h"]) % np.uint64(parts)),
+            (2, done, anchors.mixed(done["key"].astype(np.uint64)) % np.uint64(parts)),
         ):
             if len(rows):
                 for mine, more in zip(blocks, packed(part.astype(np.int64), kind, rows)):
@@ -182,99 +189,137 @@ def heavy_anchors(keyed: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in got.collect()], dtype=np.int64).view(np.uint64))
 
 
-def settle_runs(blocks: DataFrame, parts: int) -> DataFrame:
-    """(edge, key, lo, n, off, h): settled repeats (edge false) and runs to be sorted (edge true)."""
+def shared_runs(blocks: DataFrame, parts: int) -> DataFrame:
+    """(edge, key, lo, n, off): settled repeats (edge false), and runs or windows whose hash others have (edge true)."""
 
     def work(table: pa.Table) -> pa.Table:
         kinds, bodies = table.column("kind").to_pylist(), [x.as_py() for x in table.column("body")]
         get = lambda k, t: np.concatenate([np.frombuffer(b, t) for b, x in zip(bodies, kinds) if x == k] or [np.empty(0, t)])
-        run, win, done = get(0, _RUN), get(1, _WIN), get(2, _DONE)
-        order = np.lexsort((run["lo"], run["key"], run["g"], run["h"]))
-        new = _firsts([run["h"], run["g"]], order)
-        first = run[order[new]]
-        head = _firsts([first["h"]], np.arange(len(first)))
-        group = np.cumsum(head) - 1
-        edge = first[np.bincount(group, minlength=1)[group] > 1] if len(first) else first
-        worder = np.lexsort((win["lo"], win["key"], win["b"], win["a"]))
-        known = np.concatenate([done, _as_done(run[order[~new]]), _ones(win[worder[~_firsts([win["a"], win["b"]], worder)]])])
-        n = len(known)
+        run, win, done = _several(get(0, _RUN)), _several(get(1, _WIN)), get(2, _DONE)
         return pa.table(
             {
-                "edge": pa.array(np.arange(n + len(edge)) >= n),
-                "key": np.concatenate([known["key"], edge["key"]]),
-                "lo": np.concatenate([known["lo"], edge["lo"]]).astype(np.int64),
-                "n": np.concatenate([known["n"], edge["n"]]).astype(np.int32),
-                "off": np.concatenate([np.zeros(n, np.int32), edge["off"].astype(np.int32)]),
-                "h": np.concatenate([np.zeros(n, np.int64), edge["h"].view(np.int64) if edge["h"].flags.c_contiguous else edge["h"].copy().view(np.int64)]),
+                "edge": np.arange(len(done) + len(run) + len(win)) >= len(done),
+                "key": np.concatenate([done["key"], run["key"], win["key"]]),
+                "lo": np.concatenate([done["lo"], run["lo"], win["lo"]]).astype(np.int64),
+                "n": np.concatenate([done["n"], run["n"], np.ones(len(win))]).astype(np.int32),
+                "off": np.concatenate([np.zeros(len(done)), run["off"], np.full(len(win), WINDOWED)]).astype(np.int32),
             }
         )
 
-    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(work, "edge boolean, key long, lo long, n int, off int, h long")
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(work, "edge boolean, key long, lo long, n int, off int")
+
+
+def _several(rows: np.ndarray) -> np.ndarray:
+    """The rows whose hash is not theirs alone."""
+    _, inverse, count = np.unique(rows["h"], return_inverse=True, return_counts=True)
+    return rows[count[inverse] > 1]
 
 
 def edge_blocks(texts: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
-    """(part, body) blocks of edge runs with their bytes. texts: __key, __row, __text."""
+    """(part, body) blocks of edge runs with their bytes. texts: __key, __row.
+
+    Anchor hashes are taken from the bytes again; they needn't travel to the texts.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            data, at = flat(batch.column(1))
-            lists = batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
-            rows = lists.flatten()
-            doc = np.repeat(np.arange(len(keys)), counts)
-            ctx = np.empty(len(rows), _CTX)
-            ctx["key"] = keys[doc]
-            for name in ("h", "lo", "n", "off"):
-                v = rows.field(name).to_numpy(zero_copy_only=False)
-                ctx[name] = v.view(np.uint64) if name == "h" else v
-            part = (anchors.mixed(ctx["h"].copy()) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ctx, part, doc = ctx[order], part[order], doc[order]
-            pos, _ = _explode(at[doc] + ctx["lo"].astype(np.int64), ctx["n"].astype(np.int64) + WINDOW - 1)
-            body, length = data[pos], np.concatenate([[0], np.cumsum(ctx["n"].astype(np.int64) + WINDOW - 1)])
-            head = np.flatnonzero(_firsts([part], np.arange(len(part))))
-            ends = np.append(head[1:], len(part))
-            out = [np.int64(j - i).tobytes() + ctx[i:j].tobytes() + body[length[i] : length[j]].tobytes() for i, j in zip(head, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[head], pa.int32()), pa.array(out, pa.binary())], names=["part", "body"])
-
-    per_doc = edges.groupBy(F.col("key").alias("__k")).agg(F.collect_list(F.struct("h", "lo", "n", "off")).alias("e"))
-    joined = texts.join(per_doc, F.col("__key") == F.col("__k")).select("__key", "__text", "e")
+            for i, j, *_ in slices(text_of(batch.column(1)), SLICE_BYTES):
+                some = batch.slice(i, j - i).filter(batch.column(2).slice(i, j - i).is_valid())
+                if not some.num_rows:
+                    continue
+                (data, at), lists = flat(text_of(some.column(1))), some.column(2)
+                keys, rows = some.column(0).to_numpy(zero_copy_only=False), lists.flatten()
+                doc = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
+                ctx = np.empty(len(rows), _RUN)
+                ctx["key"] = keys[doc]
+                for name in ("lo", "n", "off"):
+                    ctx[name] = rows.field(name).to_numpy(zero_copy_only=False)
+                place = at[doc] + ctx["lo"].astype(np.int64)
+                ctx["h"] = edge_hashes(data, place, ctx["off"])
+                part = (anchors.mixed(np.ascontiguousarray(ctx["h"])) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ctx, part, place = ctx[order], part[order], place[order]
+                size = ctx["n"].astype(np.int64) + WINDOW - 1
+                pos, _ = _explode(place, size)
+                body, length = data[pos], np.concatenate([[0], np.cumsum(size)])
+                head = np.flatnonzero(_firsts([part], np.arange(len(part))))
+                ends = np.append(head[1:], len(part))
+                out = [sealed(ctx[a:z].tobytes() + body[length[a] : length[z]].tobytes(), z - a) for a, z in zip(head, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[head], pa.int32()), pa.array(out, pa.binary())], names=["part", "body"])
+
+    per_doc = edges.groupBy(F.col("key").alias("__k")).agg(F.collect_list(F.struct("lo", "n", "off")).alias("e"))
+    # a left join as in the last step, so that both share one exchange of the texts
+    joined = texts.join(per_doc, F.col("__key") == F.col("__k"), "left").select("__key", "__row", "e")
     return joined.mapInArrow(work, "part int, body binary")
 
 
+def sealed(body: bytes, n: int) -> bytes:
+    """A block of n runs, packed: its passages are most of what this operator shuffles."""
+    return np.array([n, len(body)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unsealed(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a block and their bytes."""
+    n, size = np.frombuffer(block, np.int64, 2).tolist()
+    body = pa.decompress(block[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(body, _RUN, n), np.frombuffer(body, np.uint8, offset=n * _RUN.itemsize)
+
+
+def text_of(rows: pa.StructArray) -> pa.Array:
+    """The texts of `__row` structs; whole rows go to both joins, so that they are shuffled once."""
+    return pc.struct_field(rows, "text")
+
+
+def edge_hashes(data: np.ndarray, place: np.ndarray, off: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Anchor hashes of runs (first window, anchor offset), and the own hashes of single windows."""
+    grams = anchors.gram_hashes(data)
+    single = np.flatnonzero(off == WINDOWED)
+    out = grams[np.where(off == WINDOWED, place, place + off)]
+    if len(single):
+        s, span = Suffixes(data), np.arange(WINDOW - anchors.GRAM + 1)
+        for k in range(0, len(single), step):
+            w = place[single[k : k + step]]
+            out[single[k : k + step]] = window_hash(s, w, grams[w[:, None] + span].min(axis=1))
+    return out
+
+
 class Suffixes:
-    """Suffixes of a byte string, compared on their first WINDOW bytes by prefix hashes."""
+    """Suffixes of a byte string, compared on their first bytes by prefix hashes."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
         self.prefix, self.powers = anchors.prefix_hash(data)
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension, WINDOW at most, by binary search."""
-        out = np.full(len(x), WINDOW, np.int64)
-        diff = np.flatnonzero(self._span(x, WINDOW) != self._span(y, WINDOW))
+    def span(self, i: np.ndarray, n) -> np.ndarray:
+        return anchors.span_hash(self.prefix, self.powers, i, i + n)
+
+    def common(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Length of the common extension, n at most, by binary search."""
+        if len(n) and n.max() > LONGEST:
+            raise ValueError("prefix hashes modulo 2**64 tell apart short strings only")
+        out = n.copy()
+        diff = np.flatnonzero(self.span(x, n) != self.span(y, n))
         if len(diff):
             p, q = x[diff], y[diff]
-            lo, hi = np.zeros(len(diff), np.int64), np.full(len(diff), WINDOW, np.int64)
+            lo, hi = np.zeros(len(diff), np.int64), n[diff]
             while (hi - lo > 1).any():
                 mid = (lo + hi) // 2
-                same = self._span(p, mid) == self._span(q, mid)
+                same = self.span(p, mid) == self.span(q, mid)
                 lo, hi = np.where(same, mid, lo), np.where(same, hi, mid)
             out[diff] = lo
         return out
 
-    def _span(self, i, n):
-        return anchors.span_hash(self.prefix, self.powers, i, i + n)
-
-    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        k = self.common(x, y)
-        whole = k >= WINDOW
-        k = np.minimum(k, WINDOW - 1)
+    def less(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        k = self.common(x, y, n)
+        whole = k >= n
+        k = np.minimum(k, n - 1)
         return np.where(whole, or_equal, self.data[x + k] < self.data[y + k])
 
-    def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of suffixes by (group, content): bottom-up mergesort of all groups at once."""
+    def sort(self, start: np.ndarray, n: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Order of suffixes by (group, content): bottom-up mergesort of all groups at once.
+
+        A suffix counts with its first n bytes; n is the same within a group.
+        """
         order = np.argsort(group, kind="stable")
         head = np.flatnonzero(_firsts([group], order))
         size = np.diff(np.append(head, len(order)))
@@ -288,11 +333,11 @@ class Suffixes:
             own = b + k * width
             lo = np.minimum(np.where(left, own + width, own - width), e)
             hi = np.minimum(np.where(left, own + 2 * width, own), e)
-            first, x = np.where(left, own, own - width), start[order[live]]
+            first, x, length = np.where(left, own, own - width), start[order[live]], n[order[live]]
             a, z = lo.copy(), hi.copy()
             while len(todo := np.flatnonzero(a < z)):
                 mid = (a[todo] + z[todo]) // 2
-                before = self.less(start[order[mid]], x[todo], ~left[todo])
+                before = self.less(start[order[mid]], x[todo], length[todo], ~left[todo])
                 a[todo] = np.where(before, mid + 1, a[todo])
                 z[todo] = np.where(before, z[todo], mid)
             target = first + (live - own) + (a - lo)
@@ -301,66 +346,65 @@ class Suffixes:
             order, width = moved, 2 * width
         return order
 
-    def same_bytes(self, x: np.ndarray, y: np.ndarray, step: int = 20_000) -> np.ndarray:
-        out = np.zeros(len(x), dtype=bool)
-        span = np.arange(WINDOW)
-        for i in range(0, len(x), step):
-            out[i : i + step] = (self.data[x[i : i + step, None] + span] == self.data[y[i : i + step, None] + span]).all(axis=1)
+    def same_bytes(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+        """Whether the first n bytes are equal, byte by byte."""
+        out, total = np.zeros(len(x), dtype=bool), np.cumsum(n)
+        i = 0
+        while i < len(x):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + step)))
+            (p, idx), (q, _) = _explode(x[i:j], n[i:j]), _explode(y[i:j], n[i:j])
+            out[i:j] = np.bincount(idx[self.data[p] != self.data[q]], minlength=j - i) == 0
+            i = j
         return out
 
+    def repeats(self, start: np.ndarray, n: np.ndarray, group: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Which suffixes equal one of their group that is earlier by (key, lo).
+
+        The sort brings equal suffixes together; neighbours are verified by their bytes.
+        """
+        again = np.zeros(len(start), dtype=bool)
+        by = np.argsort(group, kind="stable")
+        new = _firsts([group], by)
+        some = by[~(new & np.append(new[1:], True))]  # what is alone in its group repeats nothing
+        if not len(some):
+            return again
+        order = some[self.sort(start[some], n[some], group[some])]
+        o, m, g = start[order], n[order], group[order]
+        near = np.flatnonzero(g[1:] == g[:-1])
+        near = near[self.common(o[near + 1], o[near], m[near]) >= m[near]]
+        joined = np.zeros(len(order), dtype=bool)
+        joined[near[self.same_bytes(o[near + 1], o[near], m[near])] + 1] = True
+        content = np.cumsum(~joined)
+        best = np.lexsort((lo[order], key[order], content))
+        again[order[best]] = ~_firsts([content], best)
+        return again
+
+
+#: The offset that marks single windows of heavy anchors among the edges.
+WINDOWED = 255
+
 
 def sort_edges(bodies: list[bytes]) -> np.ndarray:
-    """Windows (key, lo, n) of edge runs that an earlier equal window of their group precedes."""
-    ctx, texts = [], []
-    for body in bodies:
-        n = int(np.frombuffer(body, np.int64, 1)[0])
-        ctx.append(np.frombuffer(body, _CTX, n, 8))
-        texts.append(np.frombuffer(body, np.uint8, offset=8 + n * _CTX.itemsize))
-    c, data = np.concatenate(ctx), np.concatenate(texts)
-    n = c["n"].astype(np.int64)
-    length = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])[:-1]
-    s = Suffixes(data)
-    start, idx = _explode(length, n)
-    shift = start - length[idx]
+    """Ranges of windows (key, lo, n) that equal an earlier window, among the runs of some anchors.
+
+    Whole runs are sorted first, so that copies are sorted once; then all windows of the
+    first run of each content, where an anchor has several contents.
+    """
+    ctx, texts = zip(*map(unsealed, bodies))
+    c, s = np.concatenate(ctx), Suffixes(np.concatenate(texts))
+    n, key, lo, off = c["n"].astype(np.int64), c["key"], c["lo"].astype(np.int64), c["off"].astype(np.int64)
+    start, h = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])[:-1], np.ascontiguousarray(c["h"])
+    again = s.repeats(start, n + WINDOW - 1, alike(h, off, n), key, lo)
+    out = [_spans(key[again], lo[again], n[again])]
+    first = np.flatnonzero(~again & (off != WINDOWED))
+    w, idx = _explode(start[first], n[first])
+    run = first[idx]
+    shift = w - start[run]
     with np.errstate(over="ignore"):
-        group = anchors.mixed(c["h"].copy()[idx] + (c["off"][idx].astype(np.int64) - shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        full = group ^ anchors.mixed(s._span(start, WINDOW))
-    ranked = np.sort(full)
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    some = np.flatnonzero(_member(twice, full))  # equal windows have equal hashes: no other can repeat
-    if not len(some):
-        return np.empty(0, _DONE)
-    start, idx, shift, group = start[some], idx[some], shift[some], group[some]
-    order = s.sort(start, group)
-    o, g = start[order], group[order]
-    again = np.zeros(len(order), dtype=bool)
-    near = np.flatnonzero((g[1:] == g[:-1]) & (s.common(o[1:], o[:-1]) >= WINDOW))
-    again[near[s.same_bytes(o[near + 1], o[near])] + 1] = True
-    same = np.cumsum(~again) - 1
-    key, lo = c["key"][idx[order]], c["lo"][idx[order]].astype(np.int64) + shift[order]
-    best = np.lexsort((lo, key, same))
-    new = _firsts([same], best)
-    out = np.empty(int((~new).sum()), _DONE)
-    out["key"], out["lo"], out["n"] = key[best[~new]], lo[best[~new]], 1
-    return joined_windows(out)
-
-
-def joined_windows(rows: np.ndarray) -> np.ndarray:
-    """Windows (key, lo, n = 1) with neighbours joined to runs of up to 255."""
-    if not len(rows):
-        return rows
-    rows = rows[np.lexsort((rows["lo"], rows["key"]))]
-    lo = rows["lo"].astype(np.int64)
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (lo[1:] > lo[:-1] + 1)
-    head = np.flatnonzero(new)
-    length = lo[np.append(head[1:], len(rows)) - 1] - lo[head] + 1
-    pieces = -(-length // 255)
-    piece, idx = _explode(np.zeros(len(head), np.int64), pieces)
-    out = np.empty(len(idx), _DONE)
-    out["key"], out["lo"] = rows["key"][head[idx]], lo[head[idx]] + 255 * piece
-    out["n"] = np.minimum(255, length[idx] - 255 * piece)
-    return out
+        group = anchors.mixed(h[run] + (off[run] - shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    again = s.repeats(w, np.full(len(w), WINDOW, np.int64), group, key[run], lo[run] + shift)
+    out.append(_spans(key[run][again], (lo[run] + shift)[again], np.ones(int(again.sum()), np.int64)))
+    return np.concatenate(out)
 
 
 def settle_edges(blocks: DataFrame, parts: int) -> DataFrame:
@@ -394,51 +438,46 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     kept is binary; with as_text a string without the bytes of characters cut in two.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    keyed = with_row_key(docs, "doc_id", "__key")
-    keyed = keyed.select("__key", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
-    size = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("b")).first()
+    keyed = with_row_key(docs, "doc_id")
+    texts_only = keyed.select("__key", F.col("__row.text").alias("__text"))
+    size = texts_only.agg(F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("b")).first()
     n_bytes = size["b"] or 0
     parts = max(8, int(n_bytes / 32 / PART_RUNS) + 1)
-    heavy = heavy_anchors(keyed, size["n"])
-    found = materialize(settle_runs(run_blocks(keyed, parts, heavy), parts), "runs")
-    edges = found.filter("edge")
+    heavy = heavy_anchors(texts_only, size["n"])
+    found = materialize(shared_runs(run_blocks(texts_only, parts, heavy), parts), "runs")
+    release_shuffles(spark)
+    edges = found.filter("edge").select("key", "lo", "n", "off")
     edge_parts = max(8, int(edges.count() * 140 / PART_BYTES) + 1)
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / (64 << 20)) + 1)
     texts = keyed.repartition(deal, "__key")
     sorted_out = settle_edges(edge_blocks(texts, edges, edge_parts), edge_parts)
     ranges = found.filter("not edge").select("key", "lo", "n").union(sorted_out)
     per_doc = ranges.repartition(deal, "key").groupBy(F.col("key").alias("__k")).agg(F.collect_list(F.struct("lo", "n")).alias("r"))
-    whole = texts.join(per_doc, F.col("__key") == F.col("__k"), "left").select("__row", "__text", "r")
+    whole = texts.join(per_doc, F.col("__key") == F.col("__k"), "left").select("__key", "__row", "r")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, kind = np.zeros(0, np.int64), pa.string() if as_text else pa.binary()
         for batch in batches:
-            data, at = flat(batch.column(1))
-            raw, lists = data.tobytes(), batch.column(2)
-            off, rows = lists.offsets.to_numpy(), lists.values
-            lo, n = (rows.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n"))
-            valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            kept, gone, spans = [], [], []
-            for i in range(len(at) - 1):
-                mine = slice(off[i], off[i + 1]) if valid[i] else slice(0, 0)
-                rest, k = cut(raw[at[i] : at[i + 1]], lo[mine] if valid[i] else none, n[mine] if valid[i] else none)
-                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
-                gone.append(int(at[i + 1] - at[i]) - len(rest))
-                spans.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
-                names=["__row", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            for i, j, data, at in slices(text_of(batch.column(1))):
+                raw, lists = data.tobytes(), batch.column(2).slice(i, j - i)
+                off, rows, valid = lists.offsets.to_numpy(), lists.values, lists.is_valid().to_numpy(zero_copy_only=False)
+                lo, n = (rows.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n"))
+                kept, gone, spans = [], [], []
+                for k in range(j - i):
+                    mine = slice(off[k], off[k + 1])
+                    rest, count = cut(raw[at[k] : at[k + 1]], lo[mine] if valid[k] else none, n[mine] if valid[k] else none)
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+                    gone.append(int(at[k + 1] - at[k]) - len(rest))
+                    spans.append(count)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(i, j - i), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
+                    names=["__row", "n_bytes", "n_removed", "n_spans", "kept"],
+                )
 
     row = keyed.schema["__row"].dataType.simpleString()
     return whole.mapInArrow(work, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def brute_force(texts: list[bytes]) -> list[tuple[bytes, int, int]]:
     """(kept, removed, spans) by a dictionary of all windows; for small tests."""
     seen: set[bytes] = set()

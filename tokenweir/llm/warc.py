@@ -4,11 +4,16 @@ A page becomes three records: request, response (or revisit, where an earlier pa
 the same payload) and metadata; request and metadata name the capture they belong to in
 WARC-Concurrent-To. Records are built by DataFrame expressions and written by Spark's text
 sink with the record separator CR LF CR LF as line separator, so archives land in any
-store that Spark writes. Reading parses whole files by Content-Length, record by record.
-
-Defined cases: a null page is an empty payload; null or repeated page ids are pages of
-their own (nulls first, then by id and html); line breaks in urls are percent-encoded;
-an empty table gives no archive records; other columns are ignored.
+store that Spark writes. Reading unpacks a file piece by piece, takes records by their
+Content-Length and passes them on in batches of bounded size; Spark hands a file over in
+one value, so a file may have 2 GB at most.
+
+Defined cases: a null page is an empty payload; a very long page is one record; null or
+repeated page ids are pages of their own (nulls first, then by id and the digest of the
+html); of equal payloads the first page is the response; line breaks in urls are
+percent-encoded; a record that the end of its file cuts off is left out, one without a
+readable Content-Length is empty; an empty table gives no archive records; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from tokenweir.llm.common import materialize, new_path, with_row_key
 SEPARATOR = "\r\n\r\n"
 #: Uncompressed bytes that a file should hold; readers take a file at a time.
 FILE_BYTES = 8 << 20
+#: Pairs of page keys (16 bytes each) that are broadcast at most.
+BROADCAST_REVISITS = 1_000_000
+#: Records and bytes of blocks in a batch that a reader passes on.
+BATCH_RECORDS, BATCH_BYTES = 1000, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -55,22 +64,26 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 def planned_pages(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Pages with key, payload digest, size, and the key of the page they revisit (or null).
 
-    The first page of each payload comes from a partial aggregate, so a payload that a
-    third of all pages share costs a row per task; the join back is a plain equi-join
-    whose hot partition adaptive execution splits.
+    Digests and keys alone find the revisits: the first page of each payload comes from a
+    partial aggregate, and a payload that a third of all pages share is a hot key of narrow
+    rows only. Up to BROADCAST_REVISITS of them are broadcast; beyond that the pages are
+    joined by their own, unique key.
     """
-    p = with_row_key(pages, "page_id", "key", "html").select(
-        "key",
-        "page_id",
-        F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
+    keyed = with_row_key(pages, "page_id", "html")
+    html = F.coalesce(F.col("__row.html"), F.lit(""))
+    narrow = keyed.select(F.col("__key").alias("k"), F.unhex(F.sha1(html.cast("binary"))).alias("d"), F.octet_length(html).alias("b"))
+    first = narrow.groupBy(F.col("d").alias("of")).agg(F.min("k").alias("first"))
+    revisits = narrow.filter(F.col("b") >= min_revisit_bytes).join(first, F.col("d") == F.col("of")).filter("k <> first").select("k", "first")
+    revisits = materialize(revisits, "revisits")
+    few = revisits.count() <= BROADCAST_REVISITS
+    p = keyed.join(F.broadcast(revisits) if few else revisits, F.col("__key") == F.col("k"), "left").select(
+        F.col("__key").alias("key"),
+        F.col("__row.page_id").alias("page_id"),
+        F.regexp_replace(F.regexp_replace(F.coalesce(F.col("__row.url"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
+        html.alias("html"),
+        F.col("first").alias("refers"),
     )
-    p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    first = p.groupBy(F.col("digest").alias("d")).agg(F.min("key").alias("first"))
-    return p.join(first, p["digest"] == first["d"]).select(
-        "key", "page_id", "url", "html", "bytes", "digest",
-        F.when((F.col("bytes") >= min_revisit_bytes) & (F.col("key") != F.col("first")), F.col("first")).alias("refers"),
-    )
+    return p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
 
 
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -109,30 +122,52 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_byt
     ).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+def unpacked(data: bytes | memoryview, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a file piece by piece: gzip members one after another, or the file as it is."""
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[i : i + step]) for i in range(0, len(view), step))
+        return
+    member = zlib.decompressobj(31)
+    while at < len(view):
+        piece = view[at : at + step]
+        yield member.decompress(piece)
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            if bytes(view[at : at + 2]) != b"\x1f\x8b":
+                return
+            member = zlib.decompressobj(31)
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """(headers with lower-case names, block) of each record; lengths come from Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+    held, pieces = bytearray(), iter(pieces)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
         headers: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        size = int(headers["content-length"][0])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def gunzip(data: bytes) -> bytes:
-    """One gzip member after another; data that is no gzip comes back as it is."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+        size = headers.get("content-length", ["0"])[0]
+        stop = end + 4 + (int(size) if size.isdecimal() else 0)
+        while len(held) < stop:
+            if not more():
+                return
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 SCHEMA = (
@@ -141,31 +176,39 @@ SCHEMA = (
 )
 
 
+def _row(h: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
+    one = lambda name: h.get(name, [None])[0]
+    kind, content = one("warc-type"), one("content-type") or ""
+    body = block.partition(b"\r\n\r\n")[2] if content.startswith("application/http") else block
+    fields = None
+    if content == "application/warc-fields":
+        lines = (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if ":" in x)
+        fields = [(k.strip(), v.strip()) for k, _, v in lines]
+    whole = kind == "response"
+    return (
+        one("warc-record-id"), kind, one("warc-target-uri"), one("warc-date"), h.get("warc-concurrent-to"), one("warc-refers-to"), content,
+        len(body) if whole else None, base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else None, fields, body if payloads else None,
+    )
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record. `payload` is the HTTP body, or the block of other records."""
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = [x.split(" ")[0] for x in SCHEMA.replace("map<string,string>", "m").split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
         for batch in batches:
             for value in batch.column(0):
-                rows = []
-                for h, block in parse(gunzip(value.as_buffer().to_pybytes())):
-                    one = lambda name: h.get(name, [None])[0]  # noqa: B023, E731
-                    kind, content = one("warc-type"), one("content-type") or ""
-                    body = block.partition(b"\r\n\r\n")[2] if content.startswith("application/http") else block
-                    fields = None
-                    if content == "application/warc-fields":
-                        lines = (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if ":" in x)
-                        fields = [(k.strip(), v.strip()) for k, _, v in lines]
-                    whole = kind == "response"
-                    rows.append(
-                        (one("warc-record-id"), kind, one("warc-target-uri"), one("warc-date"), h.get("warc-concurrent-to"), one("warc-refers-to"),
-                         content, len(body) if whole else None, base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else None,
-                         fields, body if payloads else None)
-                    )
-                cols = list(zip(*rows)) if rows else [()] * 11
-                kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                names = [x.split(" ")[0] for x in SCHEMA.replace("map<string,string>", "m").split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+                rows, size = [], 0
+                for h, block in parse(unpacked(value.as_buffer())):
+                    rows.append(_row(h, block, payloads))
+                    size += len(block)
+                    if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                        yield as_batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield as_batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, SCHEMA)
 
@@ -197,13 +240,17 @@ def assemble(records: DataFrame) -> DataFrame:
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to (page id).
 
-    Only narrow rows are joined; a response that very many captures revisit makes a hot
-    key on the larger side of an equi-join, which adaptive execution splits.
+    Size and digest are those of the payload in the nested row; a revisit has those of its
+    response. Only narrow rows are joined; a response that very many captures revisit makes
+    a hot key on the larger side of an equi-join, which adaptive execution splits.
     """
-    flat = captures.select(
-        "record_id", "type", "refers_to", F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+    payload = F.col("response.payload")
+    flat = materialize(
+        captures.select(
+            "record_id", "type", "refers_to", F.octet_length(payload).cast("long").alias("payload_bytes"),
+            base32_sha1(payload).alias("payload_digest"), F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        ),
+        "captures",
     )
     full = flat.filter("type = 'response'").select(
         F.col("record_id").alias("of"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"), F.col("page_id").alias("p")
@@ -216,9 +263,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes the archives, reads them again and gives a row per page."""
+    """Writes the archives, reads them again, assembles the captures with their payloads and gives a row per page."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path, min_revisit_bytes)
-    records = materialize(read_warc(spark, path, payloads=False), "records")
-    return resolve_revisits(materialize(assemble(records), "captures"))
+    return resolve_revisits(assemble(read_warc(spark, path)))
