@@ -5,8 +5,7 @@ hashed to 2**BITS slots; all n-grams count, rare ones too. Each is scaled by its
 ratio r = ln(p / q), where p and q are its document shares in toxic and other texts, both
 smoothed as if SMOOTH more texts, with the usual share of toxic ones, held it, and shrunk
 by the evidence: little of it leaves r near 0, but no n-gram is dropped. Logistic regression
-on the scaled features, toxic texts weighing the root of what would balance both kinds,
-gives the score. Training uses a bounded sample of labelled rows (SAMPLE_ROWS,
+on the scaled features, toxic texts weighing as much as all others together, gives the score. Training uses a bounded sample of labelled rows (SAMPLE_ROWS,
 SAMPLE_BYTES of whole texts, equal texts once); scoring reads every whole text in Arrow
 batches.
 
@@ -137,7 +136,7 @@ def fit(texts: list[str], y: np.ndarray, rate: float = 0.1, penalty: float = PEN
     r = log_count_ratio(c1, np.diff(start) - c1, n1, n - n1)
     w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight = np.where(y == 1, np.sqrt((n - n1) / n1), 1.0)
+    weight = np.where(y == 1, (n - n1) / n1, 1.0)
     weight /= weight.sum()
     for t in range(1, min(max(VISITS // (2 * len(slots)), STEPS[0]), STEPS[1]) + 1):
         g = (1 / (1 + np.exp(-np.clip(margins(r * w) + b, -30, 30))) - y) * weight
