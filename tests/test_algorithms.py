@@ -95,6 +95,26 @@ def test_lazy_selection_equals_plain_greedy(items, budget):
     feats, costs, rel = [sorted(f) for f, _, _ in items], [c for _, c, _ in items], [r for _, _, r in items]
     got = selecting.celf(feats, costs, rel, budget)
     assert sum(costs[i] for i in got) <= budget and got == sorted(set(got))
+    assert got == plain_greedy(feats, costs, rel, budget)
+
+
+def plain_greedy(feats, costs, rel, budget, weight=0.5, saturation=0.3):
+    """Looks at every item in every round."""
+    total = {f: sum(fs.count(f) for fs in feats) for fs in feats for f in fs}
+    taken = []
+    while True:
+        have = {f: sum(feats[i].count(f) for i in taken) for f in total}
+        best = None
+        for i in range(len(costs)):
+            if i in taken or not 0 < costs[i] <= budget - sum(costs[k] for k in taken):
+                continue
+            cover = sum(min(have[f] + 1, saturation * total[f]) - min(have[f], saturation * total[f]) for f in feats[i])
+            gain = (weight * rel[i] + (1 - weight) * cover) / costs[i]
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, i)
+        if best is None:
+            return sorted(taken)
+        taken.append(best[1])
 
 
 def test_sentences_and_tiles():

@@ -316,7 +316,10 @@ def cost_estimate(per_model: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def resolve_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price by exact id, then by the id after the first slash, then by an unambiguous bare alias."""
+    """Price by exact id, then by the id after the first slash, then by an unambiguous bare alias.
+
+    Plain joins: Spark broadcasts the price list where its size allows it.
+    """
     exact = prices.select(F.col("id").alias("p1"), F.col("input_rate").alias("r1"))
     alias = (
         prices.filter(F.instr("id", "/") > 0).groupBy(F.element_at(F.split("id", "/"), -1).alias("p3"))
@@ -324,8 +327,8 @@ def resolve_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
     )
     short = F.when(F.instr("model", "/") > 0, F.substring_index("model", "/", -1)).otherwise(F.col("model"))
     return (
-        rows.join(F.broadcast(exact), F.col("model") == F.col("p1"), "left")
-        .join(F.broadcast(exact.toDF("p2", "r2")), short == F.col("p2"), "left")
-        .join(F.broadcast(alias), F.col("model") == F.col("p3"), "left")
+        rows.join(exact, F.col("model") == F.col("p1"), "left")
+        .join(exact.toDF("p2", "r2"), short == F.col("p2"), "left")
+        .join(alias, F.col("model") == F.col("p3"), "left")
         .withColumn("input_rate", F.coalesce("r1", "r2", "r3")).drop("p1", "r1", "p2", "r2", "p3", "r3")
     )

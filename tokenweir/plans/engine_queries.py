@@ -23,12 +23,12 @@ def _table(s, d, name):
 
 
 def per_text(f: Callable[[str], str], kind: str = "string"):
-    """A text function as an Arrow column function."""
+    """A sequential text algorithm as an Arrow column function; null texts are empty."""
 
     @pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: f(t or ""))
+            yield pd.Series([f(t or "") for t in texts])
 
     return run
 
@@ -61,6 +61,12 @@ def _encoded(text: str) -> str:
     return out[0] if out else text
 
 
+def _csv(text: str) -> str:
+    """Records as CSV; what is no JSON stays."""
+    v = J.parsed(text)
+    return J.to_csv(v) if v is not None else text
+
+
 def _crushed(text: str) -> str:
     out = J.crush(J.parsed(text), 4)
     return J.dumps(out[0]) if out else text
@@ -207,7 +213,7 @@ QUERIES = {
     "compress_aggressive": _compressed("aggressive"),
     "stage_report": lambda s, d: C.stage_report(C.compress(_requests(s, d), "auto", provider="openai")),
     "toon_encode": lambda s, d: _arrays(s, d).select("arr", per_text(_encoded)("text").alias("table")),
-    "csv_union": lambda s, d: _arrays(s, d).select("arr", per_text(lambda t: J.to_csv(J.parsed(t)))("text").alias("table")),
+    "csv_union": lambda s, d: _arrays(s, d).select("arr", per_text(_csv)("text").alias("table")),
     "json_crush": lambda s, d: _arrays(s, d).select("arr", per_text(_crushed)("text").alias("sample")),
     "json_minify": lambda s, d: _arrays(s, d).select("arr", per_text(lambda t: J.minify(t.replace(",", " , ").replace(":", " : ")))("text").alias("text")),
     "global_fold": lambda s, d: _logs(s, d).select("seg", per_text(lambda t: folding.fold_global(t)[0])("text").alias("text")),

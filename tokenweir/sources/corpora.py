@@ -67,14 +67,14 @@ def model_facts(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Context, rating and reasoning flag of each row's model (registry: id, context, rating, reasoning).
 
     Names compare in lower case without what stands before the first slash; rating and flag
-    fall back to dated variants `id-<digit>...` (largest rating, any flag). The registry is a
-    bounded snapshot and is broadcast.
+    fall back to dated variants `id-<digit>...` (largest rating, any flag). Plain joins: Spark
+    broadcasts the registry where its size allows it.
     """
     name = F.lower(F.when(F.instr("model", "/") > 0, F.substring_index("model", "/", -1)).otherwise(F.col("model")))
     r = registry.withColumn("id", F.lower("id"))
     dated = r.withColumn("base", F.regexp_extract("id", r"^(.+?)-\d", 1)).filter("base <> ''").groupBy("base").agg(F.max("rating").alias("r2"), F.max("reasoning").alias("f2"))
     return (
-        rows.withColumn("__m", name).join(F.broadcast(r), F.col("__m") == F.col("id"), "left").join(F.broadcast(dated), F.col("__m") == F.col("base"), "left")
+        rows.withColumn("__m", name).join(r, F.col("__m") == F.col("id"), "left").join(dated, F.col("__m") == F.col("base"), "left")
         .withColumns({"rating": F.coalesce("rating", "r2"), "reasoning": F.coalesce("reasoning", "f2", F.lit(False))}).drop("__m", "id", "base", "r2", "f2")
     )
 
