@@ -39,3 +39,13 @@ def test_query_adds_the_control_conversation(spark, tmp_path):
 
 def test_empty(spark):
     assert chat.read_back(chat.chat_examples(conversations(spark, []))).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " * 20) for k in range(300)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    examples = chat.chat_examples(df)
+    assert examples.count() == 150
+    r = chat.read_back(examples).first()
+    assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in turns]
+    assert r.loss == "".join(text for _, _, role, text in turns if role == "assistant")

@@ -1,6 +1,7 @@
 import pytest
 import sentencepiece
 from helpers import PASSAGE, edge_docs, empty_docs, words
+from pyspark.sql import functions as F
 from test_quality import brute as brute_quality
 from test_simhash import brute_components, brute_fp
 
@@ -69,3 +70,18 @@ def test_stages_take_edges(spark, tmp_path, k):
         texts = [r.text for r in out.collect()]
         assert len(texts) == len(set(texts)) and sum(1 for t in texts if not (t or "").split()) == 1
     assert stage(spark, empty_docs(spark), str(tmp_path)).count() == 0
+
+
+def test_columns_with_inner_names_stay(spark, tmp_path):
+    """Columns of the user that are named like those that operators make inside."""
+    rows = [(1, "one text of some words", "mine1", 7), (2, "another text", "mine2", 8), (2, "another text", "mine3", 9), (None, None, "mine4", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, kept long").withColumns({"__row": F.col("__key"), "source": F.lit("s")})
+    near = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    got = {r["__key"]: (r["__row"], r.kept) for r in near.collect()}
+    assert got.keys() in ({"mine1", "mine2", "mine4"}, {"mine1", "mine3", "mine4"}) and all(k == v[0] for k, v in got.items())
+    for stage in (corpus_pipeline.suffix_dedup, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r["__key"] == r["__row"] for r in out.collect())
+    assert corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).count() == 4
