@@ -277,6 +277,13 @@ SELECT request_id, CASE WHEN role = 'system' THEN 'static' ELSE 'messages' END A
     "csv_union": cte("records") + r""", v AS (SELECT arr, pos, json_extract_string(record, '$.id') AS id, json_extract_string(record, '$.name') AS name, json_extract_string(record, '$.nation') AS nation, coalesce(json_extract_string(record, '$.note'), '') AS note FROM records),
 f AS (SELECT arr, bool_or(note <> '') AS noted, bool_and(note <> '') AS all_noted FROM v GROUP BY arr)
 SELECT v.arr, 'id,name,nation' || CASE WHEN noted THEN ',note' ELSE '' END || chr(10) || string_agg(id || ',' || name || ',' || nation || CASE WHEN noted THEN ',' || note ELSE '' END, chr(10) ORDER BY pos) AS table FROM v JOIN f ON v.arr = f.arr GROUP BY v.arr, noted""",
+    "toon_encode": cte("records") + r""", v AS (SELECT arr, pos, record, json_extract_string(record, '$.id') || ',' || json_extract_string(record, '$.name') || ',' || json_extract_string(record, '$.nation') AS cells, json_extract_string(record, '$.note') AS note FROM records),
+g AS (SELECT arr, count(*) AS n, count(note) AS m FROM v GROUP BY arr)
+SELECT v.arr, CASE WHEN n < 2 THEN '[' || string_agg(record, ',' ORDER BY pos) || ']' WHEN m = 0 THEN '[' || n || ']{id,name,nation}:' || string_agg(chr(10) || '  ' || cells, '' ORDER BY pos)
+  WHEN m = n THEN '[' || n || ']{id,name,nation,note}:' || string_agg(chr(10) || '  ' || cells || ',' || note, '' ORDER BY pos) ELSE 'id,name,nation,note' || string_agg(chr(10) || cells || ',' || coalesce(note, ''), '' ORDER BY pos) END AS "table"
+FROM v JOIN g ON v.arr = g.arr GROUP BY v.arr, n, m""",
+    "skeleton": r"""SELECT p_partkey AS id, 'fn part_' || p_partkey || '(x: u32) { /* … */ }' || chr(10) AS skeleton, concat('fn part_', p_partkey, '(x: u32) {', chr(10), 'let size = ', p_size, ';', chr(10),
+  'let total = size * x + 1;', chr(10), 'let name = "', p_name, '";', chr(10), 'emit(total, name);', chr(10), '}', chr(10)) AS minified FROM part""",
     "json_minify": cte("records") + "SELECT arr, '[' || string_agg(record, ',' ORDER BY pos) || ']' AS text FROM records GROUP BY arr",
     "token_f1": _QA + """, ta AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(a) AS w FROM nm) GROUP BY id, w), tg AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(g) AS w FROM nm) GROUP BY id, w),
 cm AS (SELECT ta.id, sum(least(ta.c, tg.c)) AS n FROM ta JOIN tg ON ta.id = tg.id AND ta.w = tg.w GROUP BY ta.id)
