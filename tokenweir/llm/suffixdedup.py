@@ -40,7 +40,7 @@ from tokenweir.llm.common import materialize, release_shuffles, with_row_key
 
 #: Runs per part of the first shuffle, windows' bytes per part of the second.
 PART_RUNS = 200_000
-PART_BYTES = 2 << 20
+PART_BYTES = 3 << 19
 #: Documents looked at for anchors that very many share, and how many make it so.
 HEAVY_DOCS = 20_000
 HEAVY_COUNT = 60
