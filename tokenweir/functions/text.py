@@ -27,6 +27,10 @@ VARIABLE = (
     r"|\b\d{1,3}(?:\.\d{1,3}){3}\b"
     r"|\d+(?:\.\d+)?"
 )
+# White space as the SQL's patterns have it; Java's \s has the vertical tab too.
+BLANK = r"\t\n\f\r "
+# A parser that bounds neither depth nor length and takes no signs beyond JSON's.
+_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"} | dict.fromkeys(("maxNestingDepth", "maxNumLen", "maxStringLen"), str(2**31 - 1))
 
 
 def let(value: Column, body) -> Column:
@@ -90,6 +94,22 @@ def variables(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(VARIABLE), F.lit(0))
 
 
+def occurrences(sign: str):
+    """How often a sign stands in a line, as a lambda of one argument: Spark would fill a second one, defaults too, with the line's index."""
+    return lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+
+
+def json_valid(text: Column) -> Column:
+    """One whole array or object, as the SQL's `json_valid` reads it: JSON, but a comma may stand before a closing bracket and NaN and infinity are numbers."""
+    plain = F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})', "x")
+    plain = F.regexp_replace(plain, r'"[^"\\\x00-\x1f]*+"', '""')
+    plain = F.regexp_replace(plain, r"(?<![\w.+-])-?(?i:nan|inf(?:inity)?)(?![\w.+-])", "0")
+    plain = F.regexp_replace(plain, r"([^\[{,: \t\r\n])[ \t\r\n]*+,(?=[ \t\r\n]*+[\]}])", "$1")
+    # The parser stops behind a value; what could follow inside an object can't follow inside an array.
+    inside = [F.from_json(F.concat(F.lit(a), plain, F.lit(b)), "z int", _JSON)["z"].isNotNull() for a, b in (('{"a":', ',"z":1}'), ('{"a":[', '],"z":1}'))]
+    return ~F.contains(plain, F.lit("\\")) & inside[0] & inside[1]
+
+
 def structured(text: Column) -> Column:
     """JSON, records, delimited or key-value lines, or text dense in signs."""
 
@@ -98,16 +118,15 @@ def structured(text: Column) -> Column:
 
     def tabular(ls: Column) -> Column:
         n = F.size(ls)
-        out = count_like(ls, r"^\s*[\w.\-]+\s*[:=]\s*\S") * 4 >= n * 3
+        out = count_like(ls, rf"^[{BLANK}]*[\w.\-]+[{BLANK}]*[:=][{BLANK}]*[^{BLANK}]") * 4 >= n * 3
         for d in [",", "\t", "|", ";"]:
-            counts = F.transform(ls, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
-            out = out | let(counts, lambda c: uniform(c, n))
+            out = out | let(F.transform(ls, occurrences(d)), lambda c: uniform(c, n))
         return (n >= 3) & out
 
     t = F.trim(text)
-    solid = F.length(F.regexp_replace(t, r"\s", ""))
-    signs = F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]"))
-    is_json = (F.rlike(t, F.lit(r"^[\[{]")) & F.get_json_object(t, "$").isNotNull()) | F.contains(t, F.lit("},{"))
+    solid = F.length(F.regexp_replace(t, rf"[{BLANK}]", ""))
+    signs = F.regexp_count(t, F.lit(rf"[^\p{{L}}\p{{N}}{BLANK}]"))
+    is_json = (F.rlike(t, F.lit(r"^[\[{]")) & json_valid(t)) | F.contains(t, F.lit("},{"))
     return F.coalesce(is_json, F.lit(False)) | let(nonblank(lines(text)), tabular) | ((solid >= 40) & (signs * 100 >= solid * 22))
 
 

@@ -94,7 +94,7 @@ QUERIES = {
     "route_preset": lambda s, d: S.route_preset(_conv(s, d)),
     "frozen_prefix": lambda s, d: S.frozen_prefix(_conv(s, d), F.length("text") > 300).select("request_id", "seg_ix", "frozen"),
     "question_terms": lambda s, d: S.question(_conv(s, d)).select("request_id", "q_ix", F.array_join(F.array_sort("query"), " ").alias("query")),
-    "structured_segment": lambda s, d: _docs(s, d).select("doc_id", X.structured(F.expr(_SHAPES)).alias("structured")),
+    "structured_segment": lambda s, d: _docs(s, d).select("doc_id", X.structured(F.expr(_SHAPES.replace("concat(", "concat_ws('', "))).alias("structured")),
     "terminal_normal": lambda s, d: _log(s, d).select("seg", "pos", X.terminal_normal(F.concat(F.lit("10%\r50%\r\x1b[32m"), "line", F.lit("\x1b[0m\r\nend"))).alias("text")),
     "answer_normal": lambda s, d: _docs(s, d).select("doc_id", X.answer_normal(F.col("text")).alias("answer")),
     "generated_kind": lambda s, d: _docs(s, d).select("doc_id", X.generated_kind(F.expr(_FILES)).alias("kind")),
